@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, url_filter
+from . import exact_dedup, language_id, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_language_id": language_id.op2_language_id,
     "op9_url_filter": url_filter.op9_url_filter,
 }
 ORACLES = exact_dedup.ORACLE | url_filter.ORACLE
