@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, token_files, url_filter
+from . import bpe, exact_dedup, language_id, line_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_language_id": language_id.op2_language_id,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_bpe": bpe.op6_bpe,
     "op7_token_files": token_files.op7_token_files,
     "op9_url_filter": url_filter.op9_url_filter,
 }
-ORACLES = exact_dedup.ORACLE | url_filter.ORACLE
+ORACLES = exact_dedup.ORACLE | line_dedup.ORACLE | url_filter.ORACLE

@@ -23,7 +23,6 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,16 +30,13 @@ from pyspark.sql import functions as F
 from .arrays import ragged, slices, texts_of, words_of
 from .bpe import vocabulary_path
 from .common import scratch, staged, table
+from .hash_index import file_system
 
 MAGIC, BLOCK, END = b"VXPLANE1", 1 << 16, 1
 #: Words whose ids a worker remembers.
 REMEMBERED = 300_000
 
 
-def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
-
-
 def to_planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
     """The 4 byte planes, or 32 bit planes, of uint32 ids."""
     raw = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
