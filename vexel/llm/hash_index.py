@@ -48,6 +48,8 @@ class PerfectHash:
     def build(cls, keys: np.ndarray) -> PerfectHash:
         cells, words, level = [], [], 0
         while len(keys):
+            if level > 100:
+                raise ValueError("equal keys")
             n = -(-max(64, ROOM * len(keys)) // 64) * 64
             at = _place(keys, level, n)
             alone = np.bincount(at, minlength=n) == 1

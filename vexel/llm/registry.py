@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, line_dedup, token_files, url_filter
+from . import bpe, exact_dedup, language_id, line_dedup, near_dedup, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,8 @@ QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_bpe": bpe.op6_bpe,
     "op7_token_files": token_files.op7_token_files,
+    "op8_simhash": near_dedup.op8_simhash,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
-ORACLES = exact_dedup.ORACLE | line_dedup.ORACLE | url_filter.ORACLE
+ORACLES = exact_dedup.ORACLE | line_dedup.ORACLE | substring_dedup.ORACLE | url_filter.ORACLE
