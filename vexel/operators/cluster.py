@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import distances as D
 from .search import pairs, rounded, top
@@ -38,7 +39,7 @@ def assign(base: DataFrame, centroids: DataFrame, metric: str = "l2", probes: in
 
 def assign_blocks(base: DataFrame, centroids: np.ndarray, metric: str = "l2", column: str = "vec") -> DataFrame:
     """base with `list`, the number of the nearest centroid, by matrix products where the rows are: no shuffle."""
-    schema = base.schema.add("list", "int")
+    schema = T.StructType([*base.schema.fields, T.StructField("list", T.IntegerType())])
 
     def run(batches):
         for batch in batches:

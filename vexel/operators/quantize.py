@@ -57,12 +57,15 @@ def pq_encode(base: DataFrame, codebook: DataFrame, m: int) -> DataFrame:
     return each.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sub", "e.code"))), lambda x: x["code"]).alias("codes"))
 
 
-def pq_search(codes: DataFrame, codebook: DataFrame, queries: DataFrame, k: int, m: int) -> DataFrame:
-    """Asymmetric distances: a table of (query, sub, code) looked up by every code, summed in order."""
+def pq_scores(codes: DataFrame, codebook: DataFrame, queries: DataFrame, m: int) -> DataFrame:
+    """query_id, id, distance: a table of (sub, code) distances for each query, looked up by every code, summed in order."""
     lut = subvectors(queries.select(F.col("query_id").alias("id"), F.col("q").alias("vec")), m).join(F.broadcast(codebook), "sub")
     lut = lut.groupBy(F.col("id").alias("query_id")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("sub") * 65536 + F.col("code"), F.round(D.l2_sq("sv", "c"), 9)))).alias("lut"))
-    scored = codes.crossJoin(F.broadcast(lut)).select("query_id", "id", F.round(F.sqrt(F.expr("aggregate(transform(codes, (c, s) -> element_at(lut, s * 65536 + c)), 0D, (a, x) -> a + x)")), 9).alias("distance"))
-    return top(scored, k).select("query_id", "rank", "id", "distance")
+    return codes.crossJoin(F.broadcast(lut)).select("query_id", "id", F.round(F.sqrt(F.expr("aggregate(transform(codes, (c, s) -> element_at(lut, s * 65536 + c)), 0D, (a, x) -> a + x)")), 9).alias("distance"))
+
+
+def pq_search(codes: DataFrame, codebook: DataFrame, queries: DataFrame, k: int, m: int) -> DataFrame:
+    return top(pq_scores(codes, codebook, queries, m), k).select("query_id", "rank", "id", "distance")
 
 
 # models
@@ -388,3 +391,27 @@ def code_search(codes: DataFrame, queries: DataFrame, model, k: int, metric: str
 def two_stage(base: DataFrame, queries: DataFrame, model, k: int, factor: int = 4, metric: str = "l2") -> DataFrame:
     """Coarse search of codes for factor * k candidates a query, then the exact rerank."""
     return rerank(code_search(encoded(base, model), queries, model, factor * k, metric), base, queries, k, metric)
+
+
+def ivf_code_search(codes: DataFrame, queries: DataFrame, centroids: np.ndarray, model, k: int, nprobe: int, metric: str = "l2") -> DataFrame:
+    """Like code_search, in the lists that each query visits. codes: (list, id, code); lists nobody visits aren't read."""
+    rows = queries.select("query_id", "q").collect()
+    ids = np.array([r["query_id"] for r in rows], np.int64)
+    block = np.array([r["q"] for r in rows], np.float64).reshape(len(rows), -1)
+    order = np.argsort(np.round(D.matrix_distance(metric, block, centroids), 9), axis=1, kind="stable")[:, :nprobe]
+    visits = np.zeros((len(ids), len(centroids)), bool)
+    np.put_along_axis(visits, order, True, 1)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                far = np.round(D.matrix_distance(metric, block, model.decode(code)), 9) + 0.0
+                far[~visits[:, batch.column("list").to_numpy()]] = np.inf
+                near = np.argsort(far, axis=1, kind="stable")[:, :k]
+                far = np.take_along_axis(far, near, 1)
+                on = np.isfinite(far)
+                yield pa.record_batch({"query_id": np.broadcast_to(ids[:, None], far.shape)[on], "id": batch.column("id").to_numpy()[near][on], "distance": far[on]})
+
+    read = codes.where(F.col("list").isin([int(x) for x in np.flatnonzero(visits.any(0))])).select("list", "id", "code")
+    return top(read.mapInArrow(run, "query_id long, id long, distance double"), k).select("query_id", "rank", "id", "distance")

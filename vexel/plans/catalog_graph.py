@@ -1,4 +1,104 @@
-"""Queries."""
+"""Queries over proximity graphs: neighbours are looked for in each row's two nearest cells."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import cluster, graph, search
+from .catalog_models import C, centroids
+from .inputs import V, queries, ranked, rounded, sql_distance, vectors
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+K, DEGREE, ALPHA = 10, 12, 1.2
+CELLS = f"cells AS (SELECT id, vec, list FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, list) AS r FROM (SELECT id, vec, list, {rounded(sql_distance('l2', 'vec', 'c'))} AS d FROM v CROSS JOIN c)) WHERE r <= 2)"
+EDGES = f"""n AS (SELECT DISTINCT x.id AS src, y.id AS dst, {rounded(sql_distance('l2', 'x.vec', 'y.vec'))} AS dist FROM cells x JOIN cells y ON x.list = y.list AND x.id <> y.id),
+e AS ({ranked('n', DEGREE, 'src, rank, dst, dist', 'dist, dst', 'src')})"""
+GRAPH = f"WITH {V}, {C}, {CELLS}, {EDGES}"
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def _graph(spark, sf) -> tuple[DataFrame, DataFrame]:
+    base = vectors(spark, sf).select("id", "vec")
+    cells = cluster.assign(base, centroids(base), probes=2)
+    return base, graph.knn_edges(cells, DEGREE)
+
+
+@query("knn_graph_edges", f"{GRAPH} SELECT src, rank, dst, dist FROM e")
+def knn_graph_edges(spark, sf):
+    return _graph(spark, sf)[1]
+
+
+@query("alpha_prune", f"{GRAPH}, h AS (SELECT DISTINCT a.src, a.dst FROM e a JOIN e b ON a.src = b.src AND b.rank < a.rank JOIN v x ON x.id = b.dst JOIN v y ON y.id = a.dst WHERE ({rounded(sql_distance('l2', 'x.vec', 'y.vec'))}) * {ALPHA} <= a.dist) SELECT src, rank, dst, dist FROM e WHERE (src, dst) NOT IN (SELECT src, dst FROM h)")
+def alpha_prune(spark, sf):
+    base, edges = _graph(spark, sf)
+    return graph.alpha_prune(edges, base, ALPHA).select("src", "rank", "dst", "dist")
+
+
+@query("reverse_edges", f"{GRAPH}, r AS (SELECT src, dst, dist FROM e UNION SELECT dst, src, dist FROM e) {ranked('r', 16, 'src, rank, dst, dist', 'dist, dst', 'src')}")
+def reverse_edges(spark, sf):
+    return graph.with_reverse(_graph(spark, sf)[1], 16)
+
+
+@query("graph_delete_consolidate", f"""{GRAPH}, l AS (SELECT src, dst FROM e WHERE src % 7 <> 0 AND dst % 7 <> 0),
+t AS (SELECT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.src % 7 <> 0 AND a.dst % 7 = 0 AND b.dst % 7 <> 0 AND a.src <> b.dst) SELECT src, dst FROM l UNION SELECT src, dst FROM t""")
+def graph_delete_consolidate(spark, sf):
+    base, edges = _graph(spark, sf)
+    return graph.consolidate(edges, base.where("id % 7 = 0"))
+
+
+@query("graph_degree_stats", f"{GRAPH}, d AS (SELECT src, count(*) AS n FROM e GROUP BY src) SELECT CAST(count(*) AS BIGINT) AS nodes, CAST(sum(n) AS BIGINT) AS edges, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM d")
+def graph_degree_stats(spark, sf):
+    return graph.degree_stats(_graph(spark, sf)[1])
+
+
+@query("graph_unreachable", f"{GRAPH} SELECT id FROM v WHERE id NOT IN (SELECT dst FROM e)")
+def graph_unreachable(spark, sf):
+    base, edges = _graph(spark, sf)
+    return graph.unreachable(edges, base)
+
+
+@query("robust_prune")
+def robust_prune(spark, sf):
+    base, edges = _graph(spark, sf)
+    return graph.robust_prune(edges, base, ALPHA, DEGREE)
+
+
+def _walk(spark, sf, excluded: str | None = None) -> DataFrame:
+    base = vectors(spark, sf).select("id", "vec")
+    rows = search.excluding(base, base.where(excluded)) if excluded else base
+    lists = cluster.kmeans(cluster.sampled(base), 4)
+    return graph.graph_search(cluster.assign_blocks(rows, lists).select("list", "id", "vec"), queries(base), K, degree=24, ef=160)
+
+
+@query("graph_beam_knn")
+def graph_beam_knn(spark, sf):
+    return _walk(spark, sf)
+
+
+@query("graph_beam_filtered")
+def graph_beam_filtered(spark, sf):
+    """Filtered search: a scan where that is cheaper, else a walk of the graph of what is allowed."""
+    base = vectors(spark, sf).select("id", "vec")
+    n, out = base.agg(F.count("*"), F.count_if(F.expr("id % 3 = 0"))).first()
+    if search.scan_is_better(n, out, K):
+        return search.knn(search.excluding(base, base.where("id % 3 = 0")), queries(base), K)
+    return _walk(spark, sf, "id % 3 = 0")
+
+
+@query("range_graph")
+def range_graph(spark, sf):
+    base = vectors(spark, sf).select("id", "vec")
+    lists = cluster.kmeans(cluster.sampled(base), 4)
+    found = graph.graph_search(cluster.assign_blocks(base, lists).select("list", "id", "vec"), queries(base), 256, ef=256)
+    return found.where("distance <= 4.0")
