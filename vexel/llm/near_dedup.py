@@ -215,7 +215,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, link:
     found = near_duplicates(spark, docs, shingle, link)
     stay = staged(spark, found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("keep_id")).distinct(), "keepers")
     named = docs.where(docs["doc_id"].isNotNull())
-    kept = named.join(stay, named["doc_id"].cast("long") == F.col("keep_id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = named.join(stay, named["doc_id"].cast("long") == stay["keep_id"], "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(docs["doc_id"].isNull()))
 
 
