@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import distances as D
 from .search import rounded, top
 
+#: Rows that a walk starts from.
+STARTS = 4
 
 def knn_edges(cells: DataFrame, degree: int, metric: str = "l2") -> DataFrame:
     """src, rank, dst, dist: the nearest `degree` rows that share a cell. cells: (list, id, vec), a row in one or more."""
@@ -73,10 +75,11 @@ def unreachable(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
 
 
-def beam(vec: np.ndarray, near: list[np.ndarray], query: np.ndarray, width: int, k: int, metric: str = "l2", start: int = 0) -> list[tuple[float, int]]:
-    """Best-first walk of one small graph: (distance, row) of the k best of a beam of `width`."""
-    first = float(D.matrix_distance(metric, query[None], vec[start : start + 1])[0, 0])
-    seen, open_, best = {start}, [(first, start)], [(-first, start)]
+def beam(vec: np.ndarray, near: list[np.ndarray], query: np.ndarray, width: int, k: int, metric: str = "l2", start: tuple[int, ...] = (0,)) -> list[tuple[float, int]]:
+    """Best-first walk of one small graph from some rows: (distance, row) of the k best of a beam of `width`."""
+    first = D.matrix_distance(metric, query[None], vec[list(start)])[0].tolist()
+    seen, open_, best = {*start}, sorted(zip(first, start)), [(-d, x) for d, x in zip(first, start)]
+    heapq.heapify(best)
     while open_:
         far, at = heapq.heappop(open_)
         if len(best) >= width and far > -best[0][0]:
@@ -96,7 +99,8 @@ def beam(vec: np.ndarray, near: list[np.ndarray], query: np.ndarray, width: int,
 def graph_search(cells: DataFrame, queries: DataFrame, k: int, degree: int = 16, ef: int = 64, metric: str = "l2", alpha: float = 1.2) -> DataFrame:
     """The k nearest by walking each cell's graph. cells: (list, id, vec), a row in one; a cell fits a task.
 
-    A cell's graph links its rows to their nearest ones, pruned by occlusion, and back; a walk starts at the medoid.
+    A cell's graph links its rows to their nearest ones, pruned by occlusion, and back. As in a layer above it, evenly
+    spaced rows are compared first, and a walk starts at the nearest of them, so it needs no links between far groups.
     """
     asked = queries.select("query_id", "q").collect()  # the bounded side
     ids, block = [r["query_id"] for r in asked], np.array([r["q"] for r in asked], float)
@@ -116,10 +120,11 @@ def graph_search(cells: DataFrame, queries: DataFrame, k: int, degree: int = 16,
             near[i].update(kept)
             for j in kept:
                 near[j].add(i)
-        medoid = int(D.matrix_distance("l2", vec, vec.mean(0)[None])[:, 0].argmin())
+        entries = np.arange(0, len(vec), max(1, int(np.sqrt(len(vec)) / 2)))
+        closest = np.argsort(D.matrix_distance(metric, block, vec[entries]), axis=1, kind="stable")[:, :STARTS] if len(block) else []
         lists = [np.array(sorted(n), int) for n in near]
         number = part["id"].to_numpy()
-        hits = [(q, int(number[x]), round(d, 9) + 0.0) for q, v in zip(ids, block) for d, x in beam(vec, lists, v, max(ef, k), k, metric, medoid)]
+        hits = [(q, int(number[x]), round(d, 9) + 0.0) for q, v, c in zip(ids, block, closest) for d, x in beam(vec, lists, v, max(ef, k), k, metric, tuple(entries[c].tolist()))]
         return pd.DataFrame(hits, columns=["query_id", "id", "distance"])
 
     found = cells.groupBy("list").applyInPandas(run, "query_id long, id long, distance double")
