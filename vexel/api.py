@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from .operators import cluster, graph, quantize, search
+from .operators import cluster, graph, lsh, multivector, quantize, search, sparse
 from .sources import store
 from .types import IndexConfig, Metric
 
@@ -128,6 +128,57 @@ class VectorIndex:
         return index
 
 
+class SparseIndex:
+    """Postings (id, term, w) under inner product, cosine or one of two BM25 dialects."""
+
+    def __init__(self, postings: DataFrame, metric: str = "ip", drop_ratio: float = 0.0):
+        if metric not in ("ip", "cosine", "bm25", "bm25_fixed"):
+            raise ValueError(metric)
+        self.postings, self.metric, self.drop_ratio = postings, metric, drop_ratio
+
+    def search(self, queries: DataFrame, k: int, excluded: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
+        """query_id, rank, id, score. queries: (query_id, term, qw). Only positive scores; statistics are of all rows."""
+        kept = queries if not self.drop_ratio else sparse.drop_terms(queries, self.drop_ratio)
+        if self.metric in ("bm25", "bm25_fixed") and excluded is None and allowed is None:
+            return (sparse.bm25_search if self.metric == "bm25" else sparse.bm25_fixed)(self.postings, kept, k)
+        if self.metric in ("bm25", "bm25_fixed"):
+            every = (sparse.bm25_search if self.metric == "bm25" else sparse.bm25_fixed)(self.postings, kept, 2**31 - 1)
+            scored = search.excluding(every, excluded, allowed).drop("rank")
+            return sparse.best(scored, k)
+        rows = search.excluding(self.postings, excluded, allowed)
+        return sparse.cosine_search(rows, kept, k) if self.metric == "cosine" else sparse.best(sparse.dot(rows, kept), k)
+
+    def get(self, ids: DataFrame) -> DataFrame:
+        return self.postings.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+class MinHashIndex:
+    """Sets of items as signatures, found by equal bands and ranked by signature distance."""
+
+    def __init__(self, items: DataFrame, size: int = 16, rows: int = 4):
+        self.size, self.rows = size, rows
+        self.sigs = lsh.signatures(items, size)
+
+    def search(self, items: DataFrame, k: int) -> DataFrame:
+        """items: (id, item) of the queries; their id becomes query_id."""
+        asked = lsh.signatures(items, self.size)
+        found = lsh.candidates(lsh.bands(self.sigs, self.rows), lsh.bands(asked, self.rows))
+        return lsh.jaccard_search(found, self.sigs, asked, k)
+
+
+class MultiVectorIndex:
+    """Documents of several vectors (id, vec: one row a vector), scored by late interaction."""
+
+    def __init__(self, tokens: DataFrame, metric: str = "ip"):
+        self.tokens, self.metric = tokens, metric
+
+    def search(self, queries: DataFrame, k: int, excluded: DataFrame | None = None) -> DataFrame:
+        return multivector.search(search.excluding(self.tokens, excluded), queries, k, self.metric)
+
+    def by_ids(self, queries: DataFrame, wanted: DataFrame) -> DataFrame:
+        return multivector.by_ids(self.tokens, queries, wanted, self.metric)
+
+
 class Registry:
     """Named indexes."""
 

@@ -59,13 +59,18 @@ def lloyd_step(assigned: DataFrame, digits: int = 9) -> DataFrame:
 
 
 def plus_plus(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Seeds: each next one is drawn with the squared distance to the nearest so far as its weight."""
+    """Seeds: each next one is drawn with the squared distance to the nearest so far as its weight; of a few drawn, the
+    one that leaves least distance is taken."""
     chosen = [rows[rng.integers(len(rows))]]
     far = ((rows - chosen[0]) ** 2).sum(1)
+    tries = 2 + int(np.log(k))
     while len(chosen) < k:
         total = far.sum()
-        chosen.append(rows[rng.choice(len(rows), p=far / total) if total > 0 else rng.integers(len(rows))])
-        far = np.minimum(far, ((rows - chosen[-1]) ** 2).sum(1))
+        drawn = rng.choice(len(rows), tries, p=far / total) if total > 0 else rng.integers(len(rows), size=1)
+        left = np.minimum(far, D.matrix_distance("l2_sq", rows[drawn], rows))
+        best = int(left.sum(1).argmin())
+        chosen.append(rows[drawn[best]])
+        far = left[best]
     return np.array(chosen)
 
 

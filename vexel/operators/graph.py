@@ -26,6 +26,22 @@ def knn_edges(cells: DataFrame, degree: int, metric: str = "l2") -> DataFrame:
     return top(near, degree, by="dist", per="src", tie="dst").select("src", "rank", "dst", "dist")
 
 
+def descend(edges: DataFrame, base: DataFrame, degree: int, metric: str = "l2") -> DataFrame:
+    """One round of neighbour descent: a row's neighbours' neighbours are candidates too, by a self-join on the middle."""
+    step = edges.select(F.col("src").alias("mid"), F.col("dst").alias("far"))
+    further = edges.select("src", F.col("dst").alias("mid")).join(step, "mid").where("src <> far").select("src", F.col("far").alias("dst"))
+    new = further.distinct().join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    ends = new.join(base.select(F.col("id").alias("src"), "vec"), "src").join(base.select(F.col("id").alias("dst"), F.col("vec").alias("q")), "dst")
+    scored = ends.select("src", "dst", rounded(D.distance(metric, "vec", "q")).alias("dist"))
+    return top(edges.select("src", "dst", "dist").unionByName(scored), degree, by="dist", per="src", tie="dst").select("src", "rank", "dst", "dist")
+
+
+def levels(nodes: DataFrame, m: int = 16, seed: int = 42, most: int = 16) -> DataFrame:
+    """id and its highest layer, geometric with ratio 1/m, from a hash of the id."""
+    u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 53)) + 1) / float((1 << 53) + 1)
+    return nodes.select("id", F.least(F.floor(-F.log(u) / float(np.log(m))), F.lit(most)).cast("int").alias("level"))
+
+
 def alpha_prune(edges: DataFrame, base: DataFrame, alpha: float = 1.2, metric: str = "l2") -> DataFrame:
     """Edges without those occluded by a nearer neighbour of the same source: alpha * d(near, far) <= d(source, far)."""
     vec = base.select("id", "vec")

@@ -122,6 +122,26 @@ class Product:
         return np.concatenate([b[codes[:, s]] for s, b in enumerate(self.books)], 1)
 
 
+@dataclass
+class Weighted:
+    """Product codes of rows whose dimensions are weighted by how much the queries use them (anisotropic coding)."""
+
+    scale: np.ndarray
+    inner: Product
+
+    @classmethod
+    def fit(cls, rows: np.ndarray, queries: np.ndarray | None = None, m: int = 8, bits: int = 8, seed: int = 42) -> Weighted:
+        used = np.ones(rows.shape[1]) if queries is None or not len(queries) else (queries**2).mean(0)
+        scale = np.sqrt(np.maximum(used / max(used.mean(), 1e-12), 1e-6))
+        return cls(scale, Product.fit(rows * scale, m, bits, seed))
+
+    def encode(self, rows):
+        return self.inner.encode(rows * self.scale)
+
+    def decode(self, codes):
+        return self.inner.decode(codes) / self.scale
+
+
 @dataclass
 class Rotated:
     """Another model after a rotation (optimized product quantization): rows and queries are turned alike."""
@@ -357,6 +377,11 @@ class Principal:
         return low @ self.axes + self.mean
 
 
+def fit_pair(rows: np.ndarray, queries: np.ndarray, dim: int) -> tuple[Principal, Principal]:
+    """Projections of rows and of queries, each fitted on its own side."""
+    return Principal.fit(rows, dim), Principal.fit(queries, dim)
+
+
 def encoded(base: DataFrame, model, keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """base's columns `keep` and `code` (binary), encoded in Arrow batches."""
 

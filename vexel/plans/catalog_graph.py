@@ -39,6 +39,18 @@ def knn_graph_edges(spark, sf):
     return _graph(spark, sf)[1]
 
 
+@query("nn_descent_edges", f"""{GRAPH}, n2 AS (SELECT DISTINCT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst UNION SELECT src, dst FROM e),
+d AS (SELECT src, dst, {rounded(sql_distance('l2', 'x.vec', 'y.vec'))} AS dist FROM n2 JOIN v x ON x.id = src JOIN v y ON y.id = dst) {ranked('d', DEGREE, 'src, rank, dst, dist', 'dist, dst', 'src')}""")
+def nn_descent_edges(spark, sf):
+    base, edges = _graph(spark, sf)
+    return graph.descend(edges, base, DEGREE)
+
+
+@query("graph_levels")
+def graph_levels(spark, sf):
+    return graph.levels(vectors(spark, sf)).groupBy("level").agg(F.count("*").alias("n"))
+
+
 @query("alpha_prune", f"{GRAPH}, h AS (SELECT DISTINCT a.src, a.dst FROM e a JOIN e b ON a.src = b.src AND b.rank < a.rank JOIN v x ON x.id = b.dst JOIN v y ON y.id = a.dst WHERE ({rounded(sql_distance('l2', 'x.vec', 'y.vec'))}) * {ALPHA} <= a.dist) SELECT src, rank, dst, dist FROM e WHERE (src, dst) NOT IN (SELECT src, dst FROM h)")
 def alpha_prune(spark, sf):
     base, edges = _graph(spark, sf)

@@ -258,6 +258,7 @@ QUERIES |= {
     "refine_fp16": _model(lambda r: quantize.Half("float16")),
     "refine_bf16": _model(lambda r: quantize.Half("bfloat16")),
     "pq_two_stage": _model(lambda r: quantize.Product.fit(r, 32, 6)),
+    "anisotropic_two_stage": _model(lambda r: quantize.Weighted.fit(r, r[::10], 32, 6)),
     "opq_two_stage": _model(lambda r: quantize.Rotated.fit(r, 32, 6)),
     "residual_pq_two_stage": _model(lambda r: quantize.Residual.fit_coarse(r, 16, 32, 6)),
     "residual_opq_two_stage": _model(lambda r: quantize.Residual.fit_coarse(r, 16, 32, 6, optimized=True)),

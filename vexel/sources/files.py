@@ -63,3 +63,10 @@ def read_vectors(spark: SparkSession, path: str, kind: str, dim: int | None = No
 def truth_table(neighbours: DataFrame) -> DataFrame:
     """Rows of an ivecs ground truth (pos, vec of ids) as query_id, rank, id."""
     return neighbours.select(F.col("pos").alias("query_id"), F.posexplode("vec").alias("r", "id")).select("query_id", (F.col("r") + 1).cast("long").alias("rank"), F.col("id").cast("long").alias("id"))
+
+
+def load_bundle(spark: SparkSession, folder: str, name: str) -> dict[str, DataFrame]:
+    """A benchmark as its publishers lay it out: <name>_base.fvecs, <name>_query.fvecs, <name>_groundtruth.ivecs."""
+    base = read_vectors(spark, f"{folder}/{name}_base.fvecs", "fvecs").select(F.col("pos").alias("id"), "vec")
+    asked = read_vectors(spark, f"{folder}/{name}_query.fvecs", "fvecs").select(F.col("pos").alias("query_id"), F.col("vec").alias("q"))
+    return {"base": base, "queries": asked, "truth": truth_table(read_vectors(spark, f"{folder}/{name}_groundtruth.ivecs", "ivecs"))}
