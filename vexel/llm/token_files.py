@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +34,8 @@ from .common import scratch, staged, table
 from .hash_index import file_system
 
 MAGIC, BLOCK, END = b"VXPLANE1", 1 << 16, 1
-#: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers, and bytes of text whose words are encoded together.
+REMEMBERED, BATCH = 400_000, 16 << 20
 
 
 def to_planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -121,29 +122,33 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.model._resize_cache(0)  # words are remembered here
+    return tokenizer, {}
 
 
 def encode_words(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts by the tokenizers library, and where each text's begin.
 
-    The vocabulary drops white space and no token crosses it, so the library encodes each distinct word once.
+    The vocabulary drops white space and no token crosses it, so the library encodes each distinct word once, and words
+    that occur more than once in a batch once a worker. It also lower-cases, so ASCII words are lower-cased first.
     """
     tokenizer, known = _tokenizer(path)
     words, at = words_of(texts)
-    coded = words.dictionary_encode()
+    coded = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words).dictionary_encode()
     names = coded.dictionary.to_pylist()
-    new = [w for w in names if w not in known]
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = names
+    which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    lists = [known.get(w) for w in names]
+    new = [i for i, x in enumerate(lists) if x is None]
+    often = np.bincount(which, minlength=len(names)) > 1
     for k in range(0, len(new), 20_000):
         part = new[k : k + 20_000]
-        known.update(zip(part, (e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False))))
-    lists = [known[w] for w in names]
+        for i, e in zip(part, tokenizer.encode_batch_fast([names[i] for i in part], add_special_tokens=False)):
+            lists[i] = e.ids
+            if often[i] and len(known) < REMEMBERED:
+                known[names[i]] = lists[i]
     n = np.fromiter(map(len, lists), np.int64, len(lists))
     flat = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(n.sum()))
-    which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.concatenate([[0], np.cumsum(n[which])])
     return flat[ragged((np.cumsum(n) - n)[which], n[which])], ends[at]
 
@@ -158,7 +163,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end: int = END,
         part = task.partitionId()
         system, base = file_system(folder)
         name, final = f"{base}/.part-{part:06d}.{task.taskAttemptId()}", f"{base}/part-{part:06d}.planes"
-        for batch in slices(batches):
+        for batch in slices(batches, limit=BATCH):
             if writer is None:
                 system.create_dir(base, recursive=True)
                 writer = Writer(sink := system.open_output_stream(name), bits)
