@@ -29,6 +29,8 @@ from .common import table
 
 #: Training documents a language, at most (about); n-gram sizes; n-grams a language, at most; slots; hashes.
 SAMPLE, SIZES, GRAMS, SLOTS, HASHES = 3000, (2, 3, 4), 6000, 1 << 18, 3
+#: Bytes of text that are taken apart at once; each takes about 100 bytes of arrays.
+BATCH = 1 << 20
 #: A language holds an n-gram only if its rate there is at least this share of the highest rate in any language.
 SHARE = 0.4
 #: Documents with a lower score, or less of the text known to the winner, are rejected by keep_known().
@@ -38,11 +40,10 @@ LEAST_SCORE, LEAST_KNOWN = 0.3, 0.05
 @functools.cache
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: whether it is a letter, and its lower case where that is one code point."""
-    points = [chr(i) for i in range(sys.maxunicode + 1)]
-    alpha = np.fromiter((c.isalpha() for c in points), bool, len(points))
-    lower = np.arange(len(points), dtype=np.uint32)
+    alpha = np.concatenate([[chr(i).isalpha() for i in range(k, k + 4096)] for k in range(0, sys.maxunicode + 1, 4096)])
+    lower = np.arange(len(alpha), dtype=np.uint32)
     for i in np.flatnonzero(alpha):
-        low = points[i].lower()
+        low = chr(i).lower()
         if len(low) == 1:
             lower[i] = ord(low)
     return alpha, lower
@@ -113,7 +114,7 @@ def fit(docs: DataFrame) -> LanguageFilter:
     """Learn from documents that aren't held out. To the driver come counts of bounded numbers of n-grams only."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(docs["doc_id"]))
     known = known.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(65).collect()}
     langs = sorted(sizes, key=lambda x: (-sizes[x], x))
     if len(langs) > 64:
         raise ValueError("more than 64 languages")
@@ -123,7 +124,7 @@ def fit(docs: DataFrame) -> LanguageFilter:
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(1_000_000) * share[F.col("lang")]).select("lang", "text")
 
     def count(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=BATCH):
             names = batch.column("lang").to_pylist()
             for lang in set(names):
                 grams, _ = _grams([t for t, x in zip(batch.column("text").to_pylist(), names) if x == lang])
@@ -149,7 +150,7 @@ def predictions(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, known (share of n-grams known to that language)."""
 
     def judge(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=BATCH):
             langs, score, known = model.judge(texts_of(batch).to_pylist())
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(langs, pa.string()), "score": score, "known": known})
 
@@ -166,7 +167,7 @@ def keep_known(docs: DataFrame, model: LanguageFilter | None = None, least_score
     at = docs.columns.index("text")
 
     def keep(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=BATCH):
             langs, score, known = model.judge(texts_of(batch.select([at]).rename_columns(["text"])).to_pylist())
             fits = [x != "und" and s >= least_score and k >= least_known for x, s, k in zip(langs, score, known)]
             yield batch.filter(pa.array(fits, pa.bool_()))
