@@ -87,8 +87,9 @@ def test_exact_dedup_index_persists(spark, docs):
     index = exact_dedup.DigestIndex(spark, buckets=4)
     first = exact_dedup.keep_distinct(spark, docs, index).count()
     assert first > 0 and exact_dedup.keep_distinct(spark, docs, index).count() == 0
-    plan = index.unseen(exact_dedup.digests(docs).groupBy("digest").count())._jdf.queryExecution().toString()
+    plan = index.unseen(exact_dedup.digests(docs).groupBy("digest").agg(exact_dedup.group_mark()))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "LeftAnti" in plan
+    assert plan.index("LeftAnti") < plan.index("Aggregate") < plan.index("Exchange")  # aggregated, shuffled, joined
 
 
 def test_line_dedup(spark, docs, empty):

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_facts, scratch, staged, table, text_or_empty
@@ -19,6 +19,11 @@ from .common import join_facts, scratch, staged, table, text_or_empty
 DIGEST = "digest"
 
 
+def group_mark() -> Column:
+    """A column that is true for every group. Spark doesn't take `first` for deterministic."""
+    return F.first(F.lit(True)).alias("one")
+
+
 class DigestIndex:
     """Table (digest, doc_id, row) bucketed and sorted by digest: the row that stays for each text seen so far.
 
@@ -38,8 +43,12 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def unseen(self, candidates: DataFrame) -> DataFrame:
-        """Candidates whose digest isn't in the index, by a sort-merge anti-join on the bucketing key."""
-        return candidates.join(self.read().select(DIGEST).hint("merge"), DIGEST, "left_anti")
+        """Candidates whose digest isn't in the index, by a sort-merge anti-join on the bucketing key.
+
+        Candidates carry group_mark(): the optimizer moves no anti-join below an aggregate that isn't deterministic, so digests
+        are aggregated before they are shuffled.
+        """
+        return candidates.join(self.read().select(DIGEST).hint("merge"), DIGEST, "left_anti").where("one").drop("one")
 
     def append(self, fresh: DataFrame) -> None:
         """One file per bucket and batch: rows are dealt by the bucketing key first."""
@@ -48,7 +57,7 @@ class DigestIndex:
 
     def add(self, batch: DataFrame) -> None:
         """batch (row, doc_id, digest): the largest (doc_id, row) of each new digest enters the index."""
-        best = batch.groupBy(DIGEST).agg(F.max(F.struct("doc_id", "row")).alias("best"))
+        best = batch.groupBy(DIGEST).agg(F.max(F.struct("doc_id", "row")).alias("best"), group_mark())
         self.append(self.unseen(best).select(DIGEST, "best.doc_id", "best.row"))
 
 
@@ -84,7 +93,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, index: DigestIndex | Non
     index = index or DigestIndex(spark)
     cols = docs.columns
     best = (docs.select(F.unhex(F.sha2(text_or_empty(docs), 256)).alias(DIGEST), F.struct(*[docs[c] for c in cols]).alias("doc"))
-        .groupBy(DIGEST).agg(F.max_by("doc", F.struct(F.col("doc.doc_id"))).alias("doc")))
+        .groupBy(DIGEST).agg(F.max_by("doc", F.struct(F.col("doc.doc_id"))).alias("doc"), group_mark()))
     fresh = staged(spark, index.unseen(best), "digest-fresh")
     index.append(fresh.select(DIGEST, F.col("doc.doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row")))
     return fresh.select("doc.*")
