@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import slices, texts_of
-from .common import table, text_or_empty
+from .common import staged, table, text_or_empty
 from .transducer import Lexicon, Table, compile_words, load, pieces, save
 
-#: Words compiled into the lexicon, at most.
-WORDS = 60_000
+#: Words compiled into the lexicon, at most, and how often each occurs at least.
+WORDS, LEAST = 60_000, 2
 #: White space, fixed by Unicode.
 SPACE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -71,10 +71,19 @@ def read_vocabulary(path: str) -> dict:
     }}
 
 
-def frequent_words(docs: DataFrame, most: int) -> list[str]:
-    """The commonest blank-separated words of all documents; at most `most` strings come to the driver."""
-    words = docs.select(F.explode(F.split(text_or_empty(docs), " ")).alias("word"))
-    return [r["word"] for r in words.where("word != ''").groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()]
+def frequent_words(docs: DataFrame, most: int, least: int = LEAST) -> list[str]:
+    """The commonest blank-separated words of all documents. A histogram of their counts says from which count on there
+    are at most `most` of them; only those come to the driver."""
+    words = docs.select(F.explode(F.split(text_or_empty(docs), " ")).alias("word")).where("word <> ''")
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).withColumn("step", F.floor(F.log2("n") * 16).cast("int"))
+    counted = staged(docs.sparkSession, counted, "words")
+    total, cut = 0, None
+    for r in sorted(counted.groupBy("step").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["step"]):
+        total += r["words"]
+        if total > most:
+            break
+        cut = r["step"]
+    return [] if cut is None else [r["word"] for r in counted.where(F.col("step") >= cut).select("word").collect()]
 
 
 class Codec:
