@@ -34,18 +34,23 @@ SEED = 42
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
-    """SimHash (uint64) of each text's word shingles."""
+def shingle_hashes(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of each text's word shingles, one text after the other, and how many each text has."""
     words, at = words_of(texts)
     n = np.diff(at)
     data, first, last = joined_words(words, at)
     data = data.translate(bytes.maketrans(UPPER.encode(), LOWER.encode()))
-    out = np.zeros(len(n), np.uint64)
     many = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
     begin = np.repeat(at[:-1], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     stop = begin + np.repeat(np.minimum(n, shingle), many) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(data[a:b], SEED) for a, b in zip(first[begin].tolist(), last[stop].tolist())), np.uint64, len(begin))
+    return np.fromiter((digest(data[a:b], SEED) for a, b in zip(first[begin].tolist(), last[stop].tolist())), np.uint64, len(begin)), many
+
+
+def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+    """SimHash (uint64) of each text's word shingles."""
+    hashes, many = shingle_hashes(texts, shingle)
+    out = np.zeros(len(many), np.uint64)
     ends = np.concatenate([[0], np.cumsum(many)])
     for a, b in _runs(ends, 1 << 16):
         rows = hashes[ends[a] : ends[b]]
