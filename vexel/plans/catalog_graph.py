@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import cluster, graph, search
@@ -12,6 +12,8 @@ from .inputs import V, queries, ranked, rounded, sql_distance, vectors
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 K, DEGREE, ALPHA = 10, 12, 1.2
+#: Hits of a range walk, and its radius.
+WIDTH, RADIUS = 256, 4.0
 CELLS = f"cells AS (SELECT id, vec, list FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, list) AS r FROM (SELECT id, vec, list, {rounded(sql_distance('l2', 'vec', 'c'))} AS d FROM v CROSS JOIN c)) WHERE r <= 2)"
 EDGES = f"""n AS (SELECT DISTINCT x.id AS src, y.id AS dst, {rounded(sql_distance('l2', 'x.vec', 'y.vec'))} AS dist FROM cells x JOIN cells y ON x.list = y.list AND x.id <> y.id),
 e AS ({ranked('n', DEGREE, 'src, rank, dst, dist', 'dist, dst', 'src')})"""
@@ -110,7 +112,11 @@ def graph_beam_filtered(spark, sf):
 
 @query("range_graph")
 def range_graph(spark, sf):
+    """A walk of WIDTH hits a query; a query that all of them are in range of may have more, and is answered by a scan."""
     base = vectors(spark, sf).select("id", "vec")
     lists = cluster.kmeans(cluster.sampled(base), 4)
-    found = graph.graph_search(cluster.assign_blocks(base, lists).select("list", "id", "vec"), queries(base), 256, ef=256)
-    return found.where("distance <= 4.0")
+    found = graph.graph_search(cluster.assign_blocks(base, lists).select("list", "id", "vec"), queries(base), WIDTH, ef=WIDTH).where(f"distance <= {RADIUS}").persist()
+    full = [r["query_id"] for r in found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= WIDTH).collect()]
+    exact = search.range_search(base, queries(base).where(F.col("query_id").isin(full)), RADIUS)
+    numbered = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")).cast("long"))
+    return found.where(~F.col("query_id").isin(full)).unionByName(numbered.select(found.columns))
