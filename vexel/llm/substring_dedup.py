@@ -7,18 +7,21 @@ earlier in the same document.
    that recur enter a sharded hash index. A window that recurs has a recurring anchor.
 2. Documents probe the index. Consecutive windows with the same recurring anchor make a candidate segment. Equal
    segments are collapsed, with the first place where each occurs, before any task has to hold them.
-3. Segments are dealt by anchor, so all windows of equal words meet in one shard. The shard confirms the windows that
-   recur, with their first places, compiles them into automata over word numbers (several of bounded size, one after
-   the other) and streams the shard's segments through them.
+3. Segments are dealt by anchor, so all windows of equal words meet in one shard. A shard confirms the windows whose
+   hash occurs twice or more and compiles their words into automata, with each word one character. What a window is, and
+   where it occurs first, only the automaton says: the shard's segments are streamed through it, and the first of the
+   places where it finds a passage is that passage's place.
 4. What the automata located goes back to the places of each segment; a document drops the words of all windows that
    aren't at their first place.
 
 Anchors in very many places (HOT or more) have their windows dealt by the window's own hash instead, so that no shard
-gathers all the different neighbourhoods of one common line.
+gathers all the different neighbourhoods of one common line. So a shard holds fewer than HOT segments, each of at most
+WINDOW - GRAM + 1 windows.
 
 Defined results: null text has no words; a null doc_id is smaller than any other; rows that repeat a doc_id count as
 one document, so equal starts in them are not earlier than each other; an empty table gives an empty result; other
-columns are ignored.
+columns are ignored; very long texts are taken in pieces of a few MB, with the words of a window carried over, so only
+the text itself is ever whole in memory.
 """
 
 from __future__ import annotations
@@ -28,22 +31,35 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import joined_words, ragged, slices, texts_of, words_of
+from .arrays import joined_words, pieces, ragged, words_of
 from .common import NO_ID, join_facts, staged, table
 from .hash_index import HashIndex
 
-#: Words of a window and of an anchor; places from which an anchor is hot; windows an automaton holds at most.
+#: Words of a window and of an anchor; places from which an anchor is hot; windows of an automaton, about.
 WINDOW, GRAM, HOT, AUTOMATON = 20, 8, 1000, 20_000
 
 
-def anchors(texts: pa.Array, window: int, gram: int):
-    """Words, text offsets, and for every window in order: its start (a word's place) and its anchor's place; and the
-    hash of the gram at each place."""
-    words, at = words_of(texts)
+def word_batches(batches, carried: int = 0):
+    """Rows, their words and text offsets, the number of each text's first word, and whether the text goes on. A long text
+    comes in pieces, each but the first led by the last `carried` words of the one before."""
+    carry, base = None, 0
+    for part, texts, more in pieces(batches):
+        words, at = words_of(texts)
+        if carry is not None:
+            words, at = pa.concat_arrays([carry, words]), at + len(carry) * (np.arange(len(at)) > 0)
+        yield part, words, at, np.full(part.num_rows, base), more
+        last = max(0, len(words) - carried)
+        carry, base = (words[last:], base + last) if more else (None, 0)
+
+
+def anchors(words: pa.Array, at: np.ndarray, window: int, gram: int):
+    """For every window in order: its start (a word's place) and its anchor's place; and the hash of the gram at each
+    place."""
     coded = words.dictionary_encode()
     one = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
     h = one[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.uint64)
@@ -64,7 +80,7 @@ def anchors(texts: pa.Array, window: int, gram: int):
         width += step
     count = np.maximum(np.diff(at) - window + 1, 0)
     start = ragged(at[:-1], count)
-    return words, at, start, place[start] if len(start) else start, g
+    return start, place[start] if len(start) else start, g
 
 
 def _second(anchor: np.ndarray) -> np.ndarray:
@@ -87,8 +103,8 @@ def recurring_anchors(spark: SparkSession, docs: DataFrame, window: int = WINDOW
     """Index of the anchors in two or more places, with the number of places."""
 
     def run(batches):
-        for batch in slices(batches):
-            _, _, _, place, g = anchors(texts_of(batch), window, gram)
+        for _, words, at, _, _ in word_batches(batches, window - 1):
+            _, place, g = anchors(words, at, window, gram)
             found, n = np.unique(g[place[_runs(place)]], return_counts=True)
             yield pa.record_batch({"hi": found.view(np.int64), "lo": _second(found).view(np.int64), "n": n.astype(np.int64)})
 
@@ -102,8 +118,8 @@ def segments(docs: DataFrame, index: HashIndex, window: int = WINDOW, gram: int
     (its words' hash), words."""
 
     def run(batches):
-        for batch in slices(batches):
-            words, at, start, place, g = anchors(texts_of(batch), window, gram)
+        for batch, words, at, base, _ in word_batches(batches, window - 1):
+            start, place, g = anchors(words, at, window, gram)
             cut = _runs(place)
             anchor = g[place[cut]]
             found, value = index.find(anchor, _second(anchor))
@@ -119,69 +135,91 @@ def segments(docs: DataFrame, index: HashIndex, window: int = WINDOW, gram: int
             pair = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, text)), np.int64).reshape(-1, 2)
             owner = np.searchsorted(at, begin, "right") - 1
             yield pa.record_batch({
-                "d": batch.column("d").to_numpy()[owner], "th": batch.column("th").to_numpy()[owner], "start": begin - at[owner],
+                "d": batch.column("d").to_numpy()[owner], "th": batch.column("th").to_numpy()[owner], "start": begin - at[owner] + base[owner],
                 "shard": np.where(often, pair[:, 0], anchor.view(np.int64)), "hi": pair[:, 0], "lo": pair[:, 1], "words": pa.array(text, pa.binary()).cast(pa.string()),
             })
 
     return _rows(docs).select("d", "th", "text").mapInArrow(run, "d long, th long, start long, shard long, hi long, lo long, words string")
 
 
-def _locate(rows: list[tuple], window: int, part: int, parts: int) -> list[list[tuple[int, int, int]]]:
-    """rows (words, n, d, start) with all windows of their shard keys: for each, (offset, d, start) of its recurring
-    windows' first places; of `parts` equal shares of windows, this is number `part`."""
+def _locate(rows: pa.Table, window: int) -> pa.RecordBatch:
+    """rows (hi, lo, n, d, start, words) of whole shard keys: hi, lo, n and the recurring windows' offsets and first places
+    (docs, starts), for segments where some place has a window that isn't at its first place."""
     import ahocorasick
 
-    number: dict[str, int] = {}
-    texts = [tuple([number.setdefault(w, len(number)) for w in words.split(" ")]) for words, _, _, _ in rows]
-    seen: dict[tuple, list] = {}
-    for text, (_, n, d, start) in zip(texts, rows):
-        for o in range(len(text) - window + 1):
-            key = text[o : o + window]
-            if parts > 1 and hash(key) % parts != part:
-                continue
-            was = seen.get(key)
-            if was is None:
-                seen[key] = [n, d, start + o]
-            else:
-                was[0] += n
-                if (d, start + o) < (was[1], was[2]):
-                    was[1], was[2] = d, start + o
-    machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for key, (n, d, start) in seen.items():
-        if n > 1:
-            machine.add_word(key, (d, start))
-    if not len(machine):
-        return [[] for _ in rows]
-    machine.make_automaton()
-    return [[(end - window + 1, d, start) for end, (d, start) in machine.iter(text)] for text in texts]
+    words, at = words_of(rows["words"].combine_chunks().cast(pa.large_string()))
+    code = words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    code += 0x800 * (code >= 0xD800)  # no surrogates
+    many = np.diff(at) - window + 1
+    n, d, first = (rows[c].to_numpy() for c in ("n", "d", "start"))
+
+    # windows that occur twice or more, by a rolling hash of their words
+    mixed = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0xD6E8FEB86659FD93)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(29)
+    rolled = np.zeros(max(0, len(code) - window + 1), np.uint64)
+    for j in range(window):
+        rolled = rolled * np.uint64(0x94D049BB133111EB) + mixed[j : j + len(rolled)]
+    place = ragged(at[:-1], many)
+    _, index, of = np.unique(rolled[place], return_index=True, return_inverse=True)
+    confirmed = place[index[np.bincount(of, weights=np.repeat(n, many), minlength=len(index)) > 1]]
+
+    # their words become the automaton's phrases; segments are one text, with a character that is no word between them
+    segment = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    spaced = np.zeros(len(code) + len(at), "<u4")
+    spaced[np.arange(len(code)) + segment] = code
+    text = spaced.tobytes().decode("utf-32-le")
+    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for key, p in enumerate((confirmed + segment[confirmed]).tolist()):
+        machine.add_word(text[p : p + window], key)
+    hits = np.zeros(0, [("end", np.int64), ("key", np.int64)])
+    if len(confirmed):
+        machine.make_automaton()
+        hits = np.fromiter(machine.iter(text), hits.dtype)
+    key, start = hits["key"], hits["end"] - window + 1
+    owner = np.searchsorted(at[1:] + np.arange(len(at) - 1), start, "right")
+    offset = start - at[owner] - owner
+
+    # a passage's first place, of all where it was found
+    doc, word = d[owner], first[owner] + offset
+    order = np.lexsort((word, doc, key))
+    lead = order[np.flatnonzero(np.diff(key[order], prepend=-1))]
+    best = np.zeros(len(confirmed), np.int64)
+    best[key[lead]] = lead
+    best = best[key]
+    late = (doc[best] != doc) | (word[best] != word)
+    kept = late | (n[owner] > 1)  # of a segment with one place, only what goes there
+    size = np.bincount(owner[kept], minlength=len(n))
+    told = np.flatnonzero(size)
+    ends = pa.array(np.concatenate([[0], np.cumsum(size[told])]), pa.int32())
+    lists = {"offsets": offset[kept], "docs": doc[best][kept], "starts": word[best][kept]}
+    return pa.record_batch({c: rows[c].to_numpy()[told] for c in ("hi", "lo", "n")} | {c: pa.ListArray.from_arrays(ends, pa.array(v)) for c, v in lists.items()})
 
 
 def located(spark: SparkSession, places: DataFrame, window: int = WINDOW, automaton: int = AUTOMATON) -> DataFrame:
-    """One row per distinct segment with recurring windows: hi, lo, n (places), and of each such window the offset and
-    the first place: offsets, docs, starts."""
+    """One row per distinct segment with recurring windows that go somewhere: hi, lo, n (places), and of each such window
+    the offset and the first place: offsets, docs, starts."""
     distinct = places.groupBy("shard", "hi", "lo").agg(F.min(F.struct("d", "start")).alias("at"), F.count("*").alias("n"), F.first("words").alias("words"))
     dealt = distinct.select("shard", "hi", "lo", "n", "at.d", "at.start", "words").repartition("shard").sortWithinPartitions("shard")
 
-    def finish(rows: list[dict]) -> pa.RecordBatch:
-        windows = sum(r["words"].count(" ") + 2 - window for r in rows)
-        parts = -(-windows // automaton)
-        given = [(r["words"], r["n"], r["d"], r["start"]) for r in rows]
-        hits = [sorted(itertools.chain(*each)) for each in zip(*(_locate(given, window, p, parts) for p in range(parts)))]
-        kept = [(r, h) for r, h in zip(rows, hits) if h]
-        column = lambda k: pa.array([[x[k] for x in h] for _, h in kept], pa.list_(pa.int64()))
-        return pa.record_batch({c: pa.array([r[c] for r, _ in kept], pa.int64()) for c in ("hi", "lo", "n")} | {"offsets": column(0), "docs": column(1), "starts": column(2)})
-
     def run(batches):
-        rows, windows = [], 0  # whole shard keys of about one automaton
+        held, windows = [], 0  # whole shard keys of about one automaton
         for batch in batches:
-            for r in batch.to_pylist():
-                if windows >= automaton and rows[-1]["shard"] != r["shard"]:
-                    yield finish(rows)
-                    rows, windows = [], 0
-                rows.append(r)
-                windows += r["words"].count(" ") + 2 - window
-        if rows:
-            yield finish(rows)
+            many = pc.subtract(pc.count_substring(batch.column("words"), " "), window - 2).to_numpy()
+            shard, total, begin = batch.column("shard").to_numpy(), np.cumsum(many), 0
+            ends = np.flatnonzero(np.diff(shard)) + 1
+            if held and batch.num_rows and held[-1].column("shard")[-1].as_py() != shard[0]:
+                ends = np.concatenate([[0], ends])
+            for end in ends.tolist():
+                so_far = total[end - 1] - (total[begin - 1] if begin else 0) if end > begin else 0
+                if windows + so_far >= automaton:
+                    yield _locate(pa.Table.from_batches([*held, batch.slice(begin, end - begin)]), window)
+                    held, windows, begin = [], 0, end
+            if begin < batch.num_rows:
+                held.append(batch.slice(begin))
+                windows += int(many[begin:].sum())
+        if held:
+            yield _locate(pa.Table.from_batches(held), window)
 
     return staged(spark, dealt.mapInArrow(run, "hi long, lo long, n long, offsets array<long>, docs array<long>, starts array<long>"), "located")
 
@@ -199,19 +237,26 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gra
     both = _rows(docs).join(marks.hint("merge"), ["d", "th"], "left").select("doc_id", "text", "gone")
 
     def run(batches):
-        for batch in slices(batches):
-            words, at = words_of(texts_of(batch))
+        held: list[tuple[int, int, bytes]] = []  # n_words, n_removed and kept words of a long text's pieces so far
+        for batch, words, at, base, more in word_batches(batches):
             gone = batch.column("gone").cast(pa.large_list(pa.int64()))
             rows = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
             many = np.array([len(gone[int(i)]) for i in rows], np.int64)
-            start = gone.drop_null().flatten().to_numpy().astype(np.int64) + np.repeat(at[rows], many)
-            edge = np.bincount(start, minlength=len(words) + 1) - np.bincount(start + window, minlength=len(words) + 1)[: len(words) + 1]
+            low, high = np.repeat(at[rows], many), np.repeat(at[rows + 1], many)
+            start = gone.drop_null().flatten().to_numpy().astype(np.int64) - np.repeat(base[rows], many) + low
+            edge = np.bincount(np.clip(start, low, high), minlength=len(words) + 1) - np.bincount(np.clip(start + window, low, high), minlength=len(words) + 1)
             kept = np.cumsum(edge)[: len(words)] == 0
             before = np.concatenate([[0], np.cumsum(kept)])
             data, first, last = joined_words(words.filter(pa.array(kept, pa.bool_())), before[at])
-            ends = before[at].tolist()
-            text = [data[first[a] : last[b - 1]] if b > a else b"" for a, b in itertools.pairwise(ends)]
-            out = {"doc_id": batch.column("doc_id"), "n_words": np.diff(at), "n_removed": np.diff(at) - np.diff(before[at])}
+            text = [data[first[a] : last[b - 1]] if b > a else b"" for a, b in itertools.pairwise(before[at].tolist())]
+            n_words, n_removed = np.diff(at), np.diff(at) - np.diff(before[at])
+            if more or held:
+                held.append((int(n_words[0]), int(n_removed[0]), text[0]))
+                if more:
+                    continue
+                n_words, n_removed, text = np.array([sum(h[0] for h in held)]), np.array([sum(h[1] for h in held)]), [b" ".join(h[2] for h in held if h[0] > h[1])]
+                held = []
+            out = {"doc_id": batch.column("doc_id"), "n_words": n_words, "n_removed": n_removed}
             made = {"text": lambda: [t.decode() for t in text], "kept_sha256": lambda: [hashlib.sha256(t).hexdigest() for t in text]}
             yield pa.record_batch(out | {c: pa.array(made[c](), pa.string()) for c in columns})
 
