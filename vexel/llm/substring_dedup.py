@@ -8,9 +8,9 @@ earlier in the same document.
 2. Documents probe the index. Consecutive windows with the same recurring anchor make a candidate segment. Equal
    segments are collapsed, with the first place where each occurs, before any task has to hold them.
 3. Segments are dealt by anchor, so all windows of equal words meet in one shard. A shard confirms the windows whose
-   hash occurs twice or more and compiles their words into automata, with each word one character. What a window is, and
-   where it occurs first, only the automaton says: the shard's segments are streamed through it, and the first of the
-   places where it finds a passage is that passage's place.
+   hash occurs twice or more, joins those that always follow each other to passages, and compiles the passages into
+   automata, with each word one character. Where passages are, and where first, only the automaton says: the shard's
+   segments are streamed through it, and the first of the places where it finds a passage is that passage's place.
 4. What the automata located goes back to the places of each segment; a document drops the words of all windows that
    aren't at their first place.
 
@@ -69,15 +69,14 @@ def anchors(words: pa.Array, at: np.ndarray, window: int, gram: int):
         g = g * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
     g = (g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     g ^= g >> np.uint64(32)
-    span = window - gram + 1
-    least, place, width = g, np.arange(n), 1
-    while width < span:  # the least of 1, 2, 4, ... grams, the leftmost of equal ones
+    span, width = window - gram + 1, 1
+    low = np.uint64(2**24 - 1)  # a place, in the low bits: batches have fewer words, and of equal grams the leftmost is the least
+    least = g & ~low | np.arange(n, dtype=np.uint64)
+    while width < span:  # the least of 1, 2, 4, ... grams
         step = min(width, span - width)
-        m = max(len(least) - step, 0)
-        other = least[step:] < least[:m]
-        place = np.where(other, place[step:], place[:m])
-        least = np.where(other, least[step:], least[:m])
+        least = np.minimum(least[step:], least[: max(len(least) - step, 0)])
         width += step
+    place = (least & low).astype(np.int64)
     count = np.maximum(np.diff(at) - window + 1, 0)
     start = ragged(at[:-1], count)
     return start, place[start] if len(start) else start, g
@@ -143,8 +142,8 @@ def segments(docs: DataFrame, index: HashIndex, window: int = WINDOW, gram: int
 
 
 def _locate(rows: pa.Table, window: int) -> pa.RecordBatch:
-    """rows (hi, lo, n, d, start, words) of whole shard keys: hi, lo, n and the recurring windows' offsets and first places
-    (docs, starts), for segments where some place has a window that isn't at its first place."""
+    """rows (hi, lo, n, d, start, words) of whole shard keys: hi, lo, n and the recurring passages' offsets, sizes (in words)
+    and first places (docs, starts), for segments where some place has a passage that isn't at its first place."""
     import ahocorasick
 
     words, at = words_of(rows["words"].combine_chunks().cast(pa.large_string()))
@@ -160,23 +159,39 @@ def _locate(rows: pa.Table, window: int) -> pa.RecordBatch:
     rolled = np.zeros(max(0, len(code) - window + 1), np.uint64)
     for j in range(window):
         rolled = rolled * np.uint64(0x94D049BB133111EB) + mixed[j : j + len(rolled)]
-    place = ragged(at[:-1], many)
+    place, times = ragged(at[:-1], many), np.repeat(n, many)
     _, index, of = np.unique(rolled[place], return_index=True, return_inverse=True)
-    confirmed = place[index[np.bincount(of, weights=np.repeat(n, many), minlength=len(index)) > 1]]
-
-    # their words become the automaton's phrases; segments are one text, with a character that is no word between them
+    count = np.bincount(of, weights=times, minlength=len(index)).astype(np.int64)
+
+    # windows that always follow each other make one passage
+    inner = np.ones(len(place), bool)
+    inner[np.cumsum(many) - 1] = False  # those with a next window in their segment
+    here = np.flatnonzero(inner)
+    pair, which = np.unique(of[here] * len(index) + of[here + 1], return_inverse=True)
+    one, two = pair // max(1, len(index)), pair % max(1, len(index))
+    bound = (np.bincount(which, weights=times[here], minlength=len(pair)) == count[one]) & (count[one] == count[two])
+    led = np.zeros(len(index), bool)
+    led[two[bound]] = True
+    goes_on = np.zeros(len(place), bool)
+    goes_on[here] = bound[which]
+    last = np.flatnonzero(~goes_on)
+    head = index[(count > 1) & ~led]
+    length = last[np.searchsorted(last, head)] - head + 1
+    head = place[head]
+
+    # passages are the automaton's phrases; segments are one text, with a character that is no word between them
     segment = np.repeat(np.arange(len(at) - 1), np.diff(at))
     spaced = np.zeros(len(code) + len(at), "<u4")
     spaced[np.arange(len(code)) + segment] = code
     text = spaced.tobytes().decode("utf-32-le")
     machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for key, p in enumerate((confirmed + segment[confirmed]).tolist()):
-        machine.add_word(text[p : p + window], key)
+    for key, (a, b) in enumerate(zip((head + segment[head]).tolist(), (head + segment[head] + length + window - 1).tolist())):
+        machine.add_word(text[a:b], key)
     hits = np.zeros(0, [("end", np.int64), ("key", np.int64)])
-    if len(confirmed):
+    if len(head):
         machine.make_automaton()
         hits = np.fromiter(machine.iter(text), hits.dtype)
-    key, start = hits["key"], hits["end"] - window + 1
+    key, start = hits["key"], hits["end"] - window + 2 - length[hits["key"]]
     owner = np.searchsorted(at[1:] + np.arange(len(at) - 1), start, "right")
     offset = start - at[owner] - owner
 
@@ -184,21 +199,22 @@ def _locate(rows: pa.Table, window: int) -> pa.RecordBatch:
     doc, word = d[owner], first[owner] + offset
     order = np.lexsort((word, doc, key))
     lead = order[np.flatnonzero(np.diff(key[order], prepend=-1))]
-    best = np.zeros(len(confirmed), np.int64)
+    best = np.zeros(len(head), np.int64)
     best[key[lead]] = lead
     best = best[key]
     late = (doc[best] != doc) | (word[best] != word)
-    kept = late | (n[owner] > 1)  # of a segment with one place, only what goes there
+    kept = np.flatnonzero(late | (n[owner] > 1))  # of a segment with one place, only what goes there
+    kept = kept[np.argsort(owner[kept], kind="stable")]
     size = np.bincount(owner[kept], minlength=len(n))
     told = np.flatnonzero(size)
     ends = pa.array(np.concatenate([[0], np.cumsum(size[told])]), pa.int32())
-    lists = {"offsets": offset[kept], "docs": doc[best][kept], "starts": word[best][kept]}
+    lists = {"offsets": offset[kept], "sizes": length[key[kept]] + window - 1, "docs": doc[best][kept], "starts": word[best][kept]}
     return pa.record_batch({c: rows[c].to_numpy()[told] for c in ("hi", "lo", "n")} | {c: pa.ListArray.from_arrays(ends, pa.array(v)) for c, v in lists.items()})
 
 
 def located(spark: SparkSession, places: DataFrame, window: int = WINDOW, automaton: int = AUTOMATON) -> DataFrame:
-    """One row per distinct segment with recurring windows that go somewhere: hi, lo, n (places), and of each such window
-    the offset and the first place: offsets, docs, starts."""
+    """One row per distinct segment with recurring passages that go somewhere: hi, lo, n (places), and of each such passage
+    the offset, the number of words and the first place: offsets, sizes, docs, starts."""
     distinct = places.groupBy("shard", "hi", "lo").agg(F.min(F.struct("d", "start")).alias("at"), F.count("*").alias("n"), F.first("words").alias("words"))
     dealt = distinct.select("shard", "hi", "lo", "n", "at.d", "at.start", "words").repartition("shard").sortWithinPartitions("shard")
 
@@ -221,7 +237,7 @@ def located(spark: SparkSession, places: DataFrame, window: int = WINDOW, automa
         if held:
             yield _locate(pa.Table.from_batches(held), window)
 
-    return staged(spark, dealt.mapInArrow(run, "hi long, lo long, n long, offsets array<long>, docs array<long>, starts array<long>"), "located")
+    return staged(spark, dealt.mapInArrow(run, "hi long, lo long, n long, offsets array<long>, sizes array<long>, docs array<long>, starts array<long>"), "located")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, columns: tuple[str, ...] = ("text",)) -> DataFrame:
@@ -231,20 +247,21 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gra
     found = located(spark, places, window)
     narrow = places.select("d", "th", "start", "hi", "lo")
     joined = join_facts(narrow, found, ["hi", "lo"], "n", max(1, places.count()))
-    late = F.filter(F.arrays_zip("offsets", "docs", "starts"), lambda x: (x["docs"] != F.col("d")) | (x["starts"] != F.col("start") + x["offsets"]))
-    marks = joined.select("d", "th", F.transform(late, lambda x: F.col("start") + x["offsets"]).alias("gone")).where(F.size("gone") > 0)
+    late = F.filter(F.arrays_zip("offsets", "sizes", "docs", "starts"), lambda x: (x["docs"] != F.col("d")) | (x["starts"] != F.col("start") + x["offsets"]))
+    marks = joined.select("d", "th", F.transform(late, lambda x: F.struct((F.col("start") + x["offsets"]).alias("start"), x["sizes"].alias("size"))).alias("gone")).where(F.size("gone") > 0)
     marks = marks.groupBy("d", "th").agg(F.flatten(F.collect_list("gone")).alias("gone"))
     both = _rows(docs).join(marks.hint("merge"), ["d", "th"], "left").select("doc_id", "text", "gone")
 
     def run(batches):
         held: list[tuple[int, int, bytes]] = []  # n_words, n_removed and kept words of a long text's pieces so far
         for batch, words, at, base, more in word_batches(batches):
-            gone = batch.column("gone").cast(pa.large_list(pa.int64()))
+            gone = batch.column("gone")
             rows = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
             many = np.array([len(gone[int(i)]) for i in rows], np.int64)
             low, high = np.repeat(at[rows], many), np.repeat(at[rows + 1], many)
-            start = gone.drop_null().flatten().to_numpy().astype(np.int64) - np.repeat(base[rows], many) + low
-            edge = np.bincount(np.clip(start, low, high), minlength=len(words) + 1) - np.bincount(np.clip(start + window, low, high), minlength=len(words) + 1)
+            flat = gone.drop_null().flatten()
+            start, size = flat.field("start").to_numpy() - np.repeat(base[rows], many) + low, flat.field("size").to_numpy()
+            edge = np.bincount(np.clip(start, low, high), minlength=len(words) + 1) - np.bincount(np.clip(start + size, low, high), minlength=len(words) + 1)
             kept = np.cumsum(edge)[: len(words)] == 0
             before = np.concatenate([[0], np.cumsum(kept)])
             data, first, last = joined_words(words.filter(pa.array(kept, pa.bool_())), before[at])
