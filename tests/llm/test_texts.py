@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import shutil
 import zlib
 
 import numpy as np
@@ -112,12 +113,20 @@ def test_line_dedup(spark, docs, empty):
 def test_hash_index_finds_all_and_only_its_keys(spark):
     keys = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, (3000, 2))
     table = spark.createDataFrame([(int(a), int(b), i) for i, (a, b) in enumerate(keys[:2000])], "hi long, lo long, n long")
-    index = hash_index.HashIndex.build(spark, table, 2000, ("n",), shard_keys=300)
+    index = hash_index.HashIndex.build(spark, table, 2000, {"n": "uint16"}, shard_keys=300)
     hi, lo = (np.ascontiguousarray(keys[:, k]).view(np.uint64) for k in (0, 1))
     found, value = index.find(hi, lo)
     assert found[:2000].all() and not found[2000:].any() and (value["n"][:2000] == np.arange(2000)).all()
     perfect = hash_index.PerfectHash.build(hi)
     assert sorted(perfect.number(hi)) == list(range(3000))
+    with pytest.raises(RuntimeError):
+        hash_index.HashIndex.build(spark, table, 2001, {"n": "int64"}, shard_keys=300)
+    hash_index._kept.clear()
+    shutil.rmtree(index.path.removeprefix("file://") + "/shard=3")  # a lost shard is no empty one
+    with pytest.raises((FileNotFoundError, RuntimeError)):
+        index.find(hi, lo)
+    with pytest.raises(ValueError):
+        hash_index.file_system("/shared/index")
 
 
 def test_substring_dedup(spark, docs, empty):
@@ -320,7 +329,10 @@ def test_transducer_is_minimal_and_ranks_words():
 
 def test_token_files(spark, docs, empty, tmp_path):
     path, real = bpe.vocabulary_path("word_bpe_49k.json"), tokenizer("word_bpe_49k.json")
-    files = sorted(tuple(r) for r in token_files.write_tokens(docs, str(tmp_path / "t"), path).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    files = token_files.write_tokens(docs, f"file://{tmp_path}/t", path, roll=0).cache()
+    assert files.where("number > 0").count() > 0  # files are closed, and others opened
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     got = sorted(token_files.read_tokens(spark, files).collect(), key=lambda r: r["start"])
     assert [order(r["doc_id"]) for r in got] == sorted(order(i) for i, _ in DOCS)
     start, want = 0, {}
@@ -330,7 +342,7 @@ def test_token_files(spark, docs, empty, tmp_path):
     for r in got:
         assert r["start"] == start and (r["n_tokens"], r["ids_crc32"]) in want[r["doc_id"]]
         start += r["n_tokens"]
-    assert token_files.read_tokens(spark, [tuple(r) for r in token_files.write_tokens(empty, str(tmp_path / "e"), path).collect()]).count() == 0
+    assert token_files.read_tokens(spark, token_files.write_tokens(empty, f"file://{tmp_path}/e", path)).count() == 0
 
 
 @pytest.mark.parametrize("bits", [False, True])

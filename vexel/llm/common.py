@@ -23,17 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests, local mode)."""
+    """The folder all executors share: spark.checkpoint.dir. Only local mode, where there is one machine, may leave it unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return (base or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; Hadoop's file system deletes it when the driver ends."""
-    path = f"{shared_dir(spark)}/vexel-{name}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+    """A new path in the shared folder, with the scheme of the file system that Spark takes it to be on; Hadoop's file system
+    deletes it when the driver ends."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/vexel-{name}-{uuid.uuid4().hex}")
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    hadoop = system.makeQualified(hadoop)
+    system.deleteOnExit(hadoop)
+    path = hadoop.toString()
+    return f"file://{path[5:]}" if path.startswith("file:/") and not path.startswith("file://") else path
 
 
 def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

@@ -11,6 +11,7 @@ that their batch needs and keep a bounded number of bytes of them.
 from __future__ import annotations
 
 import collections
+import re
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,11 @@ SHARD_KEYS, KEPT_BYTES, ROOM = 250_000, 96 << 20, 2
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+    """Arrow's file system for a path that Spark takes too, and the place there. Paths without a scheme are refused, since
+    Spark may take them for another file system's."""
+    if "://" not in path:
+        raise ValueError(f"{path} has no scheme, such as file:///")
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path))
 
 
 def _place(keys: np.ndarray, level: int, cells: int) -> np.ndarray:
@@ -73,66 +78,81 @@ class PerfectHash:
 
 
 class HashIndex:
-    """What workers need to look keys up: where the shards are, how many, and which values they hold."""
+    """What workers need to look keys up: where the shards are, how many keys each has, and which values they hold.
 
-    def __init__(self, path: str, shards: int, values: tuple[str, ...]):
-        self.path, self.shards, self.values = path, shards, values
+    values: for each its numpy type; larger numbers than it holds become its largest.
+    """
+
+    def __init__(self, path: str, sizes: np.ndarray, values: dict[str, str]):
+        self.path, self.sizes, self.values = path, sizes, values
 
     @classmethod
-    def build(cls, spark: SparkSession, keys: DataFrame, total: int, values: tuple[str, ...], shard_keys: int = SHARD_KEYS) -> HashIndex:
-        """keys: distinct (hi, lo) longs and the values, longs too; total: how many."""
+    def build(cls, spark: SparkSession, keys: DataFrame, total: int, values: dict[str, str], shard_keys: int = SHARD_KEYS) -> HashIndex:
+        """keys: distinct (hi, lo) longs and the values; total: how many."""
         shards = -(-total // shard_keys)
         path = scratch(spark, "hash-index")
         if not shards:
-            return cls(path, 0, values)
+            return cls(path, np.zeros(0, np.int64), values)
 
         def shard(key, rows: pd.DataFrame) -> pd.DataFrame:
             hi = rows["hi"].to_numpy(np.int64).view(np.uint64)
             lo = rows["lo"].to_numpy(np.int64).view(np.uint64)
             perfect = PerfectHash.build(hi ^ (lo << np.uint64(1)))
             order = np.argsort(perfect.number(hi ^ (lo << np.uint64(1))))
-            arrays = {"cells": perfect.cells, "words": perfect.words, "fingerprint": lo[order]} | {v: rows[v].to_numpy(np.int64)[order] for v in values}
-            return pd.DataFrame({"shard": [key[0]]} | {c: [a.tobytes()] for c, a in arrays.items()})
+            arrays = {"cells": perfect.cells, "words": perfect.words, "fingerprint": lo[order]}
+            arrays |= {v: np.minimum(rows[v].to_numpy(np.int64), np.iinfo(kind).max).astype(kind)[order] for v, kind in values.items()}
+            return pd.DataFrame({"shard": [key[0]], "keys": [len(rows)]} | {c: [a.tobytes()] for c, a in arrays.items()})
 
         names = ["cells", "words", "fingerprint", *values]
         dealt = keys.withColumn("shard", F.pmod("hi", F.lit(shards)).cast("int")).groupBy("shard")
-        dealt.applyInPandas(shard, "shard int, " + ", ".join(f"{c} binary" for c in names)).write.partitionBy("shard").option("compression", "zstd").parquet(path)
-        return cls(path, shards, values)
+        dealt.applyInPandas(shard, "shard int, keys long, " + ", ".join(f"{c} binary" for c in names)).write.partitionBy("shard").option("compression", "zstd").parquet(path)
+        sizes = np.zeros(shards, np.int64)
+        for r in spark.read.schema("keys long, shard int").parquet(path).collect():
+            sizes[r["shard"]] = r["keys"]
+        if sizes.sum() != total:
+            raise RuntimeError(f"{path} has {sizes.sum()} of {total} keys")
+        return cls(path, sizes, values)
 
     def find(self, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Which keys (uint64 pairs) are members, and the values of all keys (0 for others)."""
         found, out = np.zeros(len(hi), bool), {v: np.zeros(len(hi), np.int64) for v in self.values}
-        if not self.shards or not len(hi):
+        if not len(self.sizes) or not len(hi):
             return found, out
-        shard = np.mod(hi.view(np.int64), self.shards)
+        shard = np.mod(hi.view(np.int64), len(self.sizes))
         order = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
         for at in np.split(order, cuts[1:]):
-            part = _open(self.path, int(shard[at[0]]), self.values)
-            number = part["perfect"].number(hi[at] ^ (lo[at] << np.uint64(1)))
-            hit = (number >= 0) & (part["fingerprint"][number] == lo[at]) if len(part["fingerprint"]) else np.zeros(len(at), bool)
+            number = int(shard[at[0]])
+            if not self.sizes[number]:
+                continue
+            part = _open(self.path, number, int(self.sizes[number]), self.values)
+            cell = part["perfect"].number(hi[at] ^ (lo[at] << np.uint64(1)))
+            hit = (cell >= 0) & (part["fingerprint"][cell] == lo[at])
             found[at] = hit
             for v in self.values:
-                out[v][at[hit]] = part[v][number[hit]]
+                out[v][at[hit]] = part[v][cell[hit]]
         return found, out
 
 
 _kept: collections.OrderedDict[tuple[str, int], dict] = collections.OrderedDict()
 
 
-def _open(path: str, shard: int, values: tuple[str, ...]) -> dict:
-    """A shard's arrays; the least recently used ones go when KEPT_BYTES are passed."""
+def _open(path: str, shard: int, keys: int, values: dict[str, str]) -> dict:
+    """A shard's arrays, all of its keys; the least recently used shards go when KEPT_BYTES are passed."""
     if (path, shard) in _kept:
         _kept.move_to_end((path, shard))
         return _kept[path, shard]
     system, base = file_system(path)
-    files = [f.path for f in system.get_file_info(fs.FileSelector(f"{base}/shard={shard}", allow_not_found=True)) if f.base_name.endswith(".parquet")]
-    part = {"perfect": PerfectHash(np.zeros(0, np.int64), np.zeros(0, np.uint64)), "fingerprint": np.zeros(0, np.uint64), "bytes": 0} | {v: np.zeros(0, np.int64) for v in values}
-    for file in files:  # one, or none for a shard without keys
+    files = [f.path for f in system.get_file_info(fs.FileSelector(f"{base}/shard={shard}")) if f.base_name.endswith(".parquet")]
+    rows = []
+    for file in files:
         with system.open_input_file(file) as source:
-            row = pq.ParquetFile(source).read().to_pylist()[0]
-        part = {v: np.frombuffer(row[v], np.int64) for v in values} | {"fingerprint": np.frombuffer(row["fingerprint"], np.uint64), "bytes": sum(map(len, row.values()))}
-        part["perfect"] = PerfectHash(np.frombuffer(row["cells"], np.int64), np.frombuffer(row["words"], np.uint64))
+            rows += pq.ParquetFile(source).read().to_pylist()
+    if [r["keys"] for r in rows] != [keys]:
+        raise RuntimeError(f"shard {shard} of {path} has {[r['keys'] for r in rows]} keys, not {keys}")
+    row = rows[0]
+    part = {v: np.frombuffer(row[v], kind) for v, kind in values.items()} | {"fingerprint": np.frombuffer(row["fingerprint"], np.uint64)}
+    part |= {"perfect": PerfectHash(np.frombuffer(row["cells"], np.int64), np.frombuffer(row["words"], np.uint64)), "bytes": sum(len(x) for x in row.values() if isinstance(x, bytes))}
     _kept[path, shard] = part
     while len(_kept) > 1 and sum(p["bytes"] for p in _kept.values()) > KEPT_BYTES:
         _kept.popitem(last=False)

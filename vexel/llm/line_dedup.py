@@ -2,14 +2,14 @@
 
 A line's key is the line stripped of ASCII white space with A-Z lower-cased. Keys long enough and found in enough
 documents lose all their lines except in the largest doc_id that holds them. One pass counts, for every key of the
-corpus, the documents that hold it; keys of at least two documents enter the index with count and largest doc_id; a
+corpus, the documents that hold it; keys of enough documents enter the index with count and largest doc_id; a
 second pass probes the index from inside each document, so neither lines nor texts are joined or shuffled.
 
 Lines are known by 128-bit hashes: half deals them to shards, and half is the fingerprint that the index compares.
 
 Defined results: null text counts as empty, one empty line; a null doc_id is smaller than any other; rows that repeat
 a doc_id count as documents of their own, and all rows of the largest doc_id keep their lines; an empty table gives an
-empty result; other columns are ignored.
+empty result; other columns are ignored; a very long text is held as its lines, with 16 bytes of hash for each long one.
 """
 
 from __future__ import annotations
@@ -49,8 +49,8 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def line_index(spark: SparkSession, docs: DataFrame, least_chars: int = LEAST_CHARS) -> HashIndex:
-    """Index of the keys found in two or more documents: n (documents) and last (the largest doc_id)."""
+def line_index(spark: SparkSession, docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> HashIndex:
+    """Index of the keys found in `least_docs` or more documents: n (documents, 255 at most) and last (the largest doc_id)."""
 
     def keys(batches):
         for batch in slices(batches):
@@ -60,8 +60,8 @@ def line_index(spark: SparkSession, docs: DataFrame, least_chars: int = LEAST_CH
             yield pa.record_batch({"hi": both[:, 0], "lo": both[:, 1], "doc_id": np.repeat(np.array(ids, np.int64), [len(x) for x in each])})
 
     found = _rows(docs).mapInArrow(keys, "hi long, lo long, doc_id long").groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
-    repeated = staged(spark, found.where("n >= 2"), "line-keys")
-    return HashIndex.build(spark, repeated, repeated.count(), ("n", "last"))
+    repeated = staged(spark, found.where(F.col("n") >= least_docs), "line-keys")
+    return HashIndex.build(spark, repeated, repeated.count(), {"n": "uint8", "last": "int64"})
 
 
 def drop_lines(docs: DataFrame, index: HashIndex, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, columns: tuple[str, ...] = ("text",)) -> DataFrame:
@@ -74,7 +74,7 @@ def drop_lines(docs: DataFrame, index: HashIndex, least_chars: int = LEAST_CHARS
             many = [len(at) for _, at, _ in each]
             both = _pairs(b"".join(h for _, _, h in each))
             found, value = index.find(np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]))
-            gone = found & (value["n"] >= least_docs) & (value["last"] != np.repeat(ids, many))
+            gone = found & (value["n"] >= min(least_docs, 255)) & (value["last"] != np.repeat(ids, many))
             kept, dropped, start = [], [], 0
             for (lines, at, _), n in zip(each, many):
                 drop = {at[k] for k in np.flatnonzero(gone[start : start + n])}

@@ -109,7 +109,7 @@ def recurring_anchors(spark: SparkSession, docs: DataFrame, window: int = WINDOW
 
     counted = docs.select("text").mapInArrow(run, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
     repeated = staged(spark, counted.where("n >= 2"), "anchors")
-    return HashIndex.build(spark, repeated, repeated.count(), ("n",))
+    return HashIndex.build(spark, repeated, repeated.count(), {"n": "uint16"})
 
 
 def segments(docs: DataFrame, index: HashIndex, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
