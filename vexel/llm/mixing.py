@@ -3,15 +3,21 @@
 A table of labelled documents trains a classifier (Bernoulli naive Bayes over the words and punctuation runs that tell
 its domains apart best), which gives every document a posterior over the domains. Rates, one for each document and never
 negative, are then fitted by projected gradient least squares, so that the expected token totals of the domains,
-sum(rate * tokens * posterior), match the targets. Each round is one aggregation over a narrow table; only vectors and
-matrices as wide as the number of domains come to the driver. A gradient step is scaled by the domains' Gram matrix of
-the documents whose rate isn't zero, so a few rounds do. A document's rate follows from its posterior and the rounds'
-steps, so rounds write nothing.
+sum(rate * tokens * posterior), match the targets.
+
+The gradient of that fit in a document's rate is its posterior times the domains' residuals, so all steps together move a
+rate along its posterior only. Steps are therefore added up over the domains, and a document's rate is the projection of
+what they leave of 1: max(0, 1 - sum(step * posterior)), or as near to that as `most` lets it. A round is one
+aggregation over a narrow table; to the driver come vectors and matrices as wide as the number of domains. A round's
+step is scaled by the Gram matrix of the documents that can move, and shortened until the fit's objective falls.
+PULL, the weight of rates staying near 1, decides between fits that are as good, and is small enough not to show in them.
 
 The classifier is fitted on a bounded sample (SAMPLE labelled rows); totals, steps and rates cover all documents.
 
-Defined results: null text counts as empty; labels with nulls, or for documents that aren't there, teach nothing; without
-any usable label all posteriors are equal; an empty table gives an empty result; rows that repeat are weighted each.
+Defined results: null text counts as empty; null doc_ids are weighted like others and teach nothing; labels with nulls, or
+for documents that aren't there, teach nothing; without any usable label all posteriors are equal; an empty table gives
+an empty result; rows that repeat are weighted each; other columns are ignored, or kept by mix(); texts are taken apart
+one row at a time, so a very long one takes about ten times its size in the memory of one task.
 """
 
 from __future__ import annotations
@@ -27,10 +33,8 @@ DOMAINS = {"clean": "toxic = 0 AND quality = 1", "low": "toxic = 0 AND quality =
 WEIGHTS = {"clean": 0.95, "low": 0.05, "toxic": 0.0}
 #: Labelled rows that train the classifier (about, at most), words it uses, least documents that hold such a word.
 SAMPLE, FEATURES, SUPPORT = 20_000, 256, 5
-#: Rounds at most, and the residual, as a share of all tokens, at which they end; they also end when it stays as it is.
-ROUNDS, CLOSE = 30, 1e-7
-#: The first domain's expected tokens in the mix, as a multiple of what it has. Above 1, so that its documents stay.
-ROOM = 1.03
+#: Rounds at most, the gradient (in shares of all tokens) at which they end, and the weight of rates staying near 1.
+ROUNDS, CLOSE, PULL = 60, 1e-10, 1e-9
 
 
 def tokens(text: Column) -> Column:
@@ -93,68 +97,93 @@ class DomainClassifier:
         return df.select(*cols, *[(F.col(f"_e{i}") / sum(F.col(f"_e{j}") for j in range(len(self.names)))).alias(f"p_{n}") for i, n in enumerate(self.names)])
 
 
-def rate_of(steps: list[list[float]], names: list[str]) -> Column:
-    """A document's rate after the steps: each moves it along its posterior and then back to zero if it is below."""
-    rate = F.lit(1.0)
-    for step in steps:
-        rate = F.greatest(F.lit(0.0), rate - sum(F.col(f"p_{n}") * F.lit(a) for n, a in zip(names, step)))
-    return rate
-
-
-def fit_rates(members: DataFrame, names: list[str], weights: dict[str, float], room: float = ROOM, rounds: int = ROUNDS) -> list[list[float]]:
-    """The steps after which rates match the targets, from members (n_tokens, p_<domain>...)."""
-    k, steps, best = len(names), [], (np.inf, [])
-    target = None
-    for _ in range(rounds + 1):
-        with_rate = members.select("n_tokens", *[f"p_{n}" for n in names], rate_of(steps, names).alias("rate"))
-        t, p, r = F.col("n_tokens"), [F.col(f"p_{n}") for n in names], F.col("rate")
-        sums = [F.sum(t), *[F.sum(t * r * p[i]) for i in range(k)], *[F.sum(F.when(r > 0, t * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(i, k)]]
-        row = [float(x or 0) for x in with_rate.agg(*[s.alias(f"c{n}") for n, s in enumerate(sums)]).first()]
-        tokens_in, have = row[0], np.array(row[1 : k + 1])
-        if not tokens_in:
-            return []
+def _moved(steps: list[float], names: list[str]) -> Column:
+    """What all steps together take off a document's rate."""
+    return sum((F.col(f"p_{n}") * F.lit(float(a)) for n, a in zip(names, steps)), F.lit(0.0))
+
+
+def rate_of(steps: list[float], names: list[str], most: float | None = None) -> Column:
+    """A document's rate: what the steps along its posterior leave of 1, projected on what a rate may be."""
+    rate = F.greatest(F.lit(0.0), 1.0 - _moved(steps, names))
+    return rate if most is None else F.least(F.lit(float(most)), rate)
+
+
+def fit_rates(members: DataFrame, names: list[str], weights: dict[str, float], budget: float = 1.0, pull: float = PULL, most: float | None = None, rounds: int = ROUNDS) -> list[float]:
+    """The sum of the steps for each domain, from members (n_tokens, p_<domain>...).
+
+    Targets are in proportion to the weights. The first domain's, or if its weight is 0 that of all together, is `budget`
+    times the tokens it has.
+    """
+    k = len(names)
+    t, p = F.col("n_tokens"), [F.col(f"p_{n}") for n in names]
+
+    def totals(steps: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
+        """All tokens; as shares of them the domains' tokens, the rates' cost, and the Gram matrix of what can move."""
+        moved, rate = _moved(steps, names), rate_of(steps, names, most)
+        free = (moved < 1.0) if most is None else (moved < 1.0) & (moved >= 1.0 - most)
+        cost = t * (0.5 * (rate - 1.0) * (rate - 1.0) + moved * rate)
+        sums = [F.sum(t), *[F.sum(t * rate * x) for x in p], F.sum(cost), *[F.sum(F.when(free, t * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(i, k)]]
+        row = [float(x or 0) for x in members.agg(*[s.alias(f"c{n}") for n, s in enumerate(sums)]).first()]
         gram = np.zeros((k, k))
-        gram[np.triu_indices(k)] = row[k + 1 :]
-        gram += np.triu(gram, 1).T
-        if target is None:
-            share = np.array([weights[n] for n in names])
-            target = room * have[0] * share / share[0] if share[0] and have[0] else tokens_in * share / share.sum()
-        off = float(np.abs(have - target).sum() / tokens_in)
-        stuck = len(steps) > 3 and off > best[0] * 0.999
-        if off < best[0]:
-            best = (off, list(steps))
-        if off < CLOSE or stuck:
+        gram[np.triu_indices(k)] = row[k + 2 :]
+        size = row[0] or 1.0
+        return row[0], np.array(row[1 : k + 1]) / size, row[k + 1] / size, (gram + np.triu(gram, 1).T) / size
+
+    steps = np.zeros(k)
+    tokens_in, have, cost, gram = totals(steps)
+    if not tokens_in:
+        return steps.tolist()
+    share = np.array([weights[n] for n in names], float)
+    target = budget * (have[0] * share / share[0] if share[0] and have[0] else share / share.sum())
+
+    def worth(steps: np.ndarray, cost: float) -> float:
+        return float(steps @ target - cost + pull / 2 * steps @ steps)
+
+    for _ in range(rounds):
+        slope = target - have + pull * steps
+        if np.linalg.norm(slope) < CLOSE:
             break
-        step = np.linalg.pinv(gram + 1e-12 * tokens_in * np.eye(k), rcond=1e-10) @ (have - target)
-        if np.abs(step).max() < 1e-12:
+        way = -np.linalg.solve(gram + pull * np.eye(k), slope)
+        length = 1.0
+        while length > 1e-6:
+            trial = steps + length * way
+            _, *there = totals(trial)
+            if worth(trial, there[1]) <= worth(steps, cost) + 1e-4 * length * float(slope @ way):
+                break
+            length /= 4
+        else:
             break
-        steps.append([float(f"{a:.12g}") for a in step])
-    return best[1]
+        steps, (have, cost, gram) = trial, there
+    return [float(f"{a:.15g}") for a in steps]
+
+
+def _n_tokens(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
 
 
-def rates(spark: SparkSession, docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, domains: dict[str, str] = DOMAINS) -> DataFrame:
+def rates(spark: SparkSession, docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, domains: dict[str, str] = DOMAINS, budget: float = 1.0, pull: float = PULL, most: float | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens (words), p_<domain> for each domain, rate, expected_tokens."""
     model = DomainClassifier.fit(docs, labels, domains)
     text = text_or_empty(docs)
-    words = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
-    narrow = model.posteriors(F.col("_text"), docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("n_tokens"), text.alias("_text"))).drop("_text")
+    narrow = model.posteriors(F.col("_text"), docs.select(F.col("doc_id").cast("long").alias("doc_id"), _n_tokens(text).alias("n_tokens"), text.alias("_text"))).drop("_text")
     members = staged(spark, narrow, "members")
-    steps = fit_rates(members, model.names, weights)
-    return members.withColumn("rate", rate_of(steps, model.names)).withColumn("expected_tokens", F.col("rate") * F.col("n_tokens"))
+    steps = fit_rates(members, model.names, weights, budget, pull, most)
+    return members.withColumn("rate", rate_of(steps, model.names, most)).withColumn("expected_tokens", F.col("rate") * F.col("n_tokens"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame | None = None, weights: dict[str, float] = WEIGHTS, domains: dict[str, str] = DOMAINS) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame | None = None, weights: dict[str, float] = WEIGHTS, domains: dict[str, str] = DOMAINS, budget: float = 1.0, pull: float = PULL, most: float | None = None, number: str | None = None) -> DataFrame:
     """The rows of docs, all columns, each as often as its rate says: floor(rate + u) times, with u from a hash of doc_id
-    and text, uniform in [0, 1). labelled_docs: where labelled texts are, if not in docs."""
+    and text, uniform in [0, 1). labelled_docs: where labelled texts are, if not in docs. With most=1 no row is repeated;
+    number names a column that tells the copies of a row apart, from 0."""
     model = DomainClassifier.fit(labelled_docs if labelled_docs is not None else docs, labels, domains)
     text, cols = text_or_empty(docs), docs.columns
-    whole = docs.select(F.struct(*[docs[c] for c in cols]).alias("doc"), text.alias("_text"))
-    scored = model.posteriors(F.col("_text"), whole.withColumn("n_tokens", F.size(F.filter(F.split("_text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")))
-    members = staged(spark, scored.drop("doc", "_text"), "members")
-    steps = fit_rates(members, model.names, weights)
-    u = F.pmod(F.xxhash64("doc.doc_id", "_text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    often = scored.withColumn("often", F.floor(rate_of(steps, model.names) + u).cast("int"))
-    return often.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("often"))).alias("copy")).select("doc.*")
+    u = F.pmod(F.xxhash64(docs["doc_id"], text), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    whole = docs.select(F.struct(*[docs[c] for c in cols]).alias("doc"), text.alias("_text"), u.alias("u"))
+    scored = staged(spark, model.posteriors(F.col("_text"), whole.withColumn("n_tokens", _n_tokens(F.col("_text")))).drop("_text"), "scored")
+    steps = fit_rates(scored, model.names, weights, budget, pull, most)
+    often = scored.select("doc", F.floor(rate_of(steps, model.names, most) + F.col("u")).cast("int").alias("often")).where("often > 0")
+    copies = often.select("doc", F.explode(F.sequence(F.lit(0), F.col("often") - 1)).alias("copy"))
+    return copies.select("doc.*", *([F.col("copy").alias(number)] if number else []))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
