@@ -12,7 +12,7 @@ loses no link.
 
 Defined results: null text and text without words have fingerprint zero, linked like any other; a null doc_id is no
 component's name unless all of its component's are null; rows that repeat a doc_id stand for themselves; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; other columns are ignored; a very long text is hashed in pieces of a few MB, whose bits add up.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import joined_words, slices, texts_of, words_of
-from .common import join_facts, staged, table
+from .arrays import joined_words, pieces, words_of
+from .common import join_facts, staged, table, text_or_empty
 
 #: Words of a shingle, differing bits at which fingerprints link, pivots, and fingerprints a bucket should hold at most.
 SHINGLE, LINK, PIVOTS, BUCKET = 4, 4, 8, 2048
@@ -34,9 +34,9 @@ SEED = 42
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shingle_hashes(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """XXH64 of each text's word shingles, one text after the other, and how many each text has."""
-    words, at = words_of(texts)
+def shingle_hashes(words: pa.Array, at: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of each text's word shingles, one text after the other, and how many each text has. at: where each text's words
+    begin and end."""
     n = np.diff(at)
     data, first, last = joined_words(words, at)
     data = data.translate(bytes.maketrans(UPPER.encode(), LOWER.encode()))
@@ -49,7 +49,7 @@ def shingle_hashes(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray,
 
 def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     """SimHash (uint64) of each text's word shingles."""
-    hashes, many = shingle_hashes(texts, shingle)
+    hashes, many = shingle_hashes(*words_of(texts), shingle)
     out = np.zeros(len(many), np.uint64)
     ends = np.concatenate([[0], np.cumsum(many)])
     for a, b in _runs(ends, 1 << 16):
@@ -74,13 +74,36 @@ def _runs(ends: np.ndarray, limit: int) -> list[tuple[int, int]]:
 
 
 def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+    """doc_id, th (a hash of the text), fp (the fingerprint as a signed long)."""
 
     def run(batches):
-        for batch in slices(batches):
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": fingerprints(texts_of(batch), shingle).view(np.int64)})
+        held = None  # of a long text: last words, sums of bits and number of shingles so far
+        for batch, texts, more in pieces(batches):
+            if more or held is not None:
+                held = _add_piece(texts, held, shingle, more)
+                if more:
+                    continue
+                found, held = held, None
+            else:
+                found = fingerprints(texts, shingle)
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "th": batch.column("th"), "fp": found.view(np.int64)})
+
+    text = text_or_empty(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, fp long")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+
+def _add_piece(texts: pa.Array, held, shingle: int, more: bool):
+    """What is held after the next piece of a long text; after its last one, the fingerprint."""
+    words, sums, many = held or (pa.array([], pa.large_string()), np.zeros(64, np.int64), 0)
+    words = pa.concat_arrays([words, words_of(texts)[0].cast(pa.large_string())])
+    if len(words) >= shingle or (not more and not many):  # a short rest has been hashed already
+        hashes, n = shingle_hashes(words, np.array([0, len(words)]), shingle)
+        many += int(n[0])
+        for k in range(0, len(hashes), 1 << 16):
+            sums = sums + np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    if more:
+        return words[max(0, len(words) - shingle + 1) :], sums, many
+    return np.packbits(sums * 2 > many, bitorder="little").view(np.uint64)
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
@@ -201,8 +224,9 @@ def _star(spark: SparkSession, rows: DataFrame, total: int, moves: Column, name:
     return staged(spark, moved.unionByName(own).distinct(), name)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, link: int = LINK) -> DataFrame:
-    """One row per document: doc_id, fp (long), component_id (the smallest doc_id that links reach, itself included)."""
+def judged(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, link: int = LINK) -> DataFrame:
+    """One row per document: doc_id, th (a hash of its text), fp (long), root (a fingerprint that names its component) and
+    component_id (the smallest doc_id that links reach, itself included)."""
     rows = staged(spark, with_fingerprint(docs, shingle), "fingerprints")
     distinct = staged(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     number, total = distinct.agg(F.count("*"), F.sum("n")).first()
@@ -210,18 +234,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = staged(spark, named, "roots")
     sizes = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
-    facts = staged(spark, join_facts(named.select("root", "fp", "n"), staged(spark, sizes, "components"), ["root"], "members", number or 1).select("fp", "n", "component_id"), "facts")
-    return join_facts(rows, facts, ["fp"], "n", total or 1).select("doc_id", "fp", "component_id")
+    facts = staged(spark, join_facts(named.select("root", "fp", "n"), staged(spark, sizes, "components"), ["root"], "members", number or 1).select("fp", "n", "root", "component_id"), "facts")
+    return join_facts(rows, facts, ["fp"], "n", total or 1).select("doc_id", "th", "fp", "root", "component_id")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, link: int = LINK) -> DataFrame:
+    """One row per document: doc_id, fp (long), component_id."""
+    return judged(spark, docs, shingle, link).select("doc_id", "fp", "component_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, link: int = LINK) -> DataFrame:
-    """The rows of docs, all columns, that stay: of each component a row of the smallest doc_id. Rows that repeat a doc_id
-    are one document here; rows without doc_id have no name to be judged by, and stay."""
-    found = near_duplicates(spark, docs, shingle, link)
-    stay = staged(spark, found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("keep_id")).distinct(), "keepers")
-    named = docs.where(docs["doc_id"].isNotNull())
-    kept = named.join(stay, named["doc_id"].cast("long") == stay["keep_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(docs["doc_id"].isNull()))
+    """The rows of docs, all columns, that stay: of each component one row of the smallest doc_id. Rows are told apart by
+    doc_id and text, so rows that share a doc_id but aren't near copies all stay; of rows that repeat both, one does. Rows
+    without doc_id stay only where their component has no other."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    best = judged(spark, docs, shingle, link).groupBy("root").agg(F.min(order).alias("best"))
+    stay = staged(spark, best.select(F.col("best.doc_id").alias("keep_id"), F.col("best.th").alias("keep_th")), "keepers")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("i"), F.xxhash64(text_or_empty(docs)).alias("t"))
+    kept = whole.join(stay, F.col("i").eqNullSafe(F.col("keep_id")) & (F.col("t") == F.col("keep_th")), "left_semi")
+    return kept.dropDuplicates(["i", "t"]).select("doc.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
