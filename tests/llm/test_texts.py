@@ -1,5 +1,6 @@
 """The operators on texts, against brute force, on a small corpus with nulls, ties, repeats and long texts."""
 
+import functools
 import hashlib
 import random
 import re
@@ -484,3 +485,85 @@ def test_simhash_keeps_different_texts_that_share_a_doc_id(spark):
     a, b = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(2))
     frame = spark.createDataFrame([(3, a), (5, a), (5, b), (5, b), (None, a), (None, "alone here")], "doc_id long, text string")
     assert rows(near_dedup.keep_one(spark, frame)) == sorted([(3, a), (5, b), (None, "alone here")], key=repr)
+
+
+def test_language_counts_by_brute_force(spark, docs):
+    """Every n-gram of every text, one at a time, against the slots."""
+    teach = {"aa": ["abc dea ecb", "cab bad"], "bb": ["été née", "décédé cé"]}
+    made = [(i, t * 20, x) for i, (t, x) in enumerate([(t, x) for x, ts in teach.items() for t in ts] * 4) if zlib.crc32(str(i).encode()) % 4 != 2]
+    model = language_id.fit(spark.createDataFrame(made, "doc_id long, text string, lang string"))
+    mask = 2**64 - 1
+    got = {(r["doc_id"], r["score"], r["lang_pred"], round(r["known"], 12)) for r in language_id.predictions(docs, model).collect()}
+    want = set()
+    for i, t in DOCS:
+        words = re.findall(r"[^\W\d_]+", (t or "").lower())
+        text = " " + "".join(w + " " for w in words)
+        n, known = 0, np.zeros(2)
+        for size in language_id.SIZES:
+            for k in range(len(text) - size + 1):
+                h = size
+                for c in text[k : k + size]:
+                    h = (h * 0x9E3779B97F4A7C15 + ord(c)) & mask
+                h = ((h ^ h >> 29) * 0xBF58476D1CE4E5B9) & mask
+                h ^= h >> 32
+                hit = functools.reduce(int.__and__, (int(model.slots[(h >> 20 * j) & (language_id.SLOTS - 1)]) for j in range(language_id.HASHES)))
+                n, known = n + 1, known + [hit & 1, hit >> 1 & 1]
+        true = np.maximum(0, (known - n * model.false) / (1 - model.false))
+        top, total = true.max(), true.sum()
+        score = top / total if words and total else 0.0
+        want.add((i, score, model.langs[true.argmax()] if words else "und", round(min(1, top / n), 12) if words and n else 0.0))
+    assert sorted({(*r[:1], round(r[1], 9), *r[2:]) for r in got}, key=repr) == sorted({(*r[:1], round(r[1], 9), *r[2:]) for r in want}, key=repr)
+
+
+def test_long_texts(spark, tmp_path):
+    """A text of 9 MB, more than any operator takes at once, gives what its parts say."""
+    rng = random.Random(8)
+    vocabulary = [f"{rng.choice('abcdé')}{i:x}," for i in range(5000)]
+    words = rng.choices(vocabulary, k=1_500_000)
+    words[700_000:700_100] = words[100:200]
+    words[1_400_000:1_400_050] = words[120:170]
+    long = "\n".join(" ".join(words[k : k + 30]) for k in range(0, len(words), 30))
+    assert len(long.encode()) > 8_500_000
+    docs = spark.createDataFrame([(1, "a short one"), (2, long), (3, " ".join(words[300:400])), (4, None)], "doc_id long, text string").coalesce(1)
+    by = lambda df: {r["doc_id"]: r for r in df.collect()}
+
+    seen, gone = {}, np.zeros(len(words) + 1, np.int64)
+    for s in range(len(words) - 19):
+        if seen.setdefault(tuple(words[s : s + 20]), s) != s:
+            gone[s] += 1
+            gone[s + 20] -= 1
+    kept = [w for w, g in zip(words, np.cumsum(gone)) if not g]
+    got = by(substring_dedup.drop_repeats(spark, docs, columns=("kept_sha256",)))
+    assert (got[2]["n_words"], got[2]["n_removed"], got[2]["kept_sha256"]) == (len(words), len(words) - len(kept), sha(" ".join(kept))) and 100 <= got[2]["n_removed"] < 500
+    assert got[3]["n_removed"] == 100 and got[1]["n_removed"] == got[4]["n_words"] == 0
+
+    prints = by(near_dedup.with_fingerprint(docs))
+    sums, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    hashes = np.array([digest(" ".join(words[k : k + 4]), 42) for k in range(len(words) - 3)], np.uint64)
+    for b in range(64):
+        sums[b] = int((hashes >> np.uint64(b) & np.uint64(1)).sum())
+    assert prints[2]["fp"] & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sums[b] > len(hashes))
+
+    teach = spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate([("abc dea a1 b2 cd", "aa"), ("zz yy xx ww", "bb")] * 5)], "doc_id long, text string, lang string")
+    model = language_id.fit(teach)
+    whole, parts = by(language_id.predictions(docs, model))[2], [np.zeros(1), np.zeros((1, 2)), np.zeros(1)]
+    points, number, letters = language_id._normal([long])
+    for h, at in language_id._grams(points, number):
+        n, known = model.tally([(h, at)], 1)
+        parts[0], parts[1] = parts[0] + n, parts[1] + known
+    langs, score, known = model.decide(parts[0], parts[1], letters)
+    assert (whole["lang_pred"], whole["score"], whole["known"]) == (langs[0], score[0], known[0])
+
+    path = bpe.vocabulary_path("word_bpe_49k.json")
+    ids = tokenizer("word_bpe_49k.json").encode(long, add_special_tokens=False).ids + [1]
+    read = by(token_files.read_tokens(spark, token_files.write_tokens(docs, f"file://{tmp_path}/t", path)))
+    assert (read[2]["n_tokens"], read[2]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert read[3]["start"] == read[2]["start"] + len(ids) and read[4]["n_tokens"] == 1
+
+    real = tokenizer(VOCABULARY)
+    ids = real.encode(long, add_special_tokens=False).ids
+    coded = by(bpe.Encoder(spark, bpe.vocabulary_path(VOCABULARY), docs, words=100).encode(docs, ("ids_sha256", "decoded_sha256")))
+    assert (coded[2]["n_tokens"], coded[2]["ids_sha256"], coded[2]["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), sha(long))
+
+    dropped = by(line_dedup.drop_lines(docs, line_dedup.line_index(spark, docs), columns=("kept_sha256",)))
+    assert dropped[2]["n_lines"] == 50_000 and dropped[2]["kept_sha256"] == sha(long)

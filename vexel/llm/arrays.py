@@ -27,9 +27,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array, bool]]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20, cut: re.Pattern = _BLANK) -> Iterator[tuple[pa.RecordBatch, pa.Array, bool]]:
     """Slices with their texts (null: empty), and whether the slice goes on: a text longer than limit comes in pieces, cut
-    before ASCII white space, each with the one row it is from. A longer run without white space is never cut."""
+    before ASCII white space or what is given, each with the one row it is from. A longer run without any is never cut."""
     for part in slices(batches, column, limit):
         texts = texts_of(part, column)
         raw = texts[0].as_buffer() if part.num_rows == 1 else b""
@@ -38,7 +38,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             continue
         raw, at = memoryview(raw), 0
         while at < len(raw):
-            found = _BLANK.search(raw, at + limit) if at + limit < len(raw) else None
+            found = cut.search(raw, at + limit) if at + limit < len(raw) else None
             stop = found.start() if found else len(raw)
             yield part, pa.array([bytes(raw[at:stop])], pa.large_binary()).view(pa.large_string()), stop < len(raw)
             at = stop

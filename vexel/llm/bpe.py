@@ -7,7 +7,8 @@ A text is cut at blanks first. No token crosses such a cut unless it is inside a
 are encoded once a batch. Texts with a cut inside white space, or with the text of a special token, are taken whole.
 
 Defined results: null text counts as empty, and has no ids; ids are those of the tokenizers library without added
-special tokens; repeated rows are encoded each; an empty table gives an empty result; other columns are ignored.
+special tokens; repeated rows are encoded each; an empty table gives an empty result; other columns are ignored; very
+long texts are encoded in pieces of a few MB, cut at such blanks, and only their ids are held together.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import hashlib
 import itertools
 import json
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -30,17 +32,20 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import slices, texts_of
+from .arrays import pieces as pieces_of
 from .common import staged, table, text_or_empty
 from .transducer import Lexicon, Table, compile_words, load, pieces, save
 
-#: Words compiled into the lexicon, at most, and how often each occurs at least.
-WORDS, LEAST = 60_000, 2
+#: Words compiled into the lexicon, at most, how often each occurs at least, and the code points of the longest: the driver
+#: holds at most WORDS * LONGEST of them. Longer words are merged like unseen ones.
+WORDS, LEAST, LONGEST = 60_000, 2, 64
 #: White space, fixed by Unicode.
 SPACE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: The same white space for Arrow's RE2: a blank between white space, or between white space and the end.
 _RE2 = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Where a long text is cut: before a blank between two printable ASCII characters, where a piece begins anyway.
+BETWEEN = re.compile(rb"(?<=[\x21-\x7e]) (?=[\x21-\x7e])")
 ODD = rf"{_RE2} (?:{_RE2}|\z)"
 
 
@@ -74,7 +79,7 @@ def read_vocabulary(path: str) -> dict:
 def frequent_words(docs: DataFrame, most: int, least: int = LEAST) -> list[str]:
     """The commonest blank-separated words of all documents. A histogram of their counts says from which count on there
     are at most `most` of them; only those come to the driver."""
-    words = docs.select(F.explode(F.split(text_or_empty(docs), " ")).alias("word")).where("word <> ''")
+    words = docs.select(F.explode(F.split(text_or_empty(docs), " ")).alias("word")).where(F.length("word").between(1, LONGEST))
     counted = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).withColumn("step", F.floor(F.log2("n") * 16).cast("int"))
     counted = staged(docs.sparkSession, counted, "words")
     total, cut = 0, None
@@ -179,9 +184,15 @@ class Encoder:
         kinds = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
         def run(batches):
-            codec = _codec(name, special)
-            for batch in slices(batches):
-                ids, at = codec.encode(texts_of(batch))
+            codec, held = _codec(name, special), []  # ids of a long text's pieces so far
+            for batch, texts, more in pieces_of(batches, cut=BETWEEN):
+                ids, at = codec.encode(texts)
+                if more or held:
+                    held.append(ids)
+                    if more:
+                        continue
+                    ids, held = np.concatenate(held), []
+                    at = np.array([0, len(ids)])
                 out = {"doc_id": batch.column("doc_id"), "n_tokens": np.diff(at)}
                 each = [ids[a:b] for a, b in itertools.pairwise(at.tolist())]
                 if "ids" in columns:
