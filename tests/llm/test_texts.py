@@ -205,54 +205,73 @@ def test_simhash_links_through_chains_and_large_buckets(spark):
     assert len(near_dedup._search(near[by], table[by], 4)) == 40
 
 
+def spark_hash(*parts):
+    """xxhash64 of longs, ints (as pairs with their width) and strings, each seeded with the hash before."""
+    h = 42
+    for p in parts:
+        raw = p.encode() if isinstance(p, str) else p[0].to_bytes(p[1], "little", signed=True)
+        h = xxhash.xxh64_intdigest(raw, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def signature(text):
+    """As the definition has it: from each arc's beginning, the next two numbered k-mers on the circle, in text order."""
+    words = [(spark_hash(w), 8) for w in words_of(text)]
+    if not words:
+        return []
+    grams = [spark_hash(*words[i : i + 5]) for i in range(len(words) - 4)] or [spark_hash(*words)]
+    seen, items = {}, []
+    for i, g in enumerate(grams):
+        n = seen[g] = seen.get(g, -1) + 1
+        items.append((spark_hash((g, 8), (n, 4)) if n else g, i))
+    out = []
+    for k in range(64):
+        begin = -(2**63) + k * 2**58
+        near = sorted(items, key=lambda x: (x[0] - begin) % 2**64)[:2]
+        out.append(spark_hash(*[(h, 8) for h, _ in sorted(near, key=lambda x: x[1])]) >> 32)
+    return out
+
+
+def same(a, b):
+    return 1.0 if not a and not b else sum(x == y for x, y in zip(a, b)) / 64
+
+
 def test_fingerprints(spark, docs, empty):
+    """All columns by brute force, but where rows that share a doc_id make the next document a matter of hashes."""
     got = fingerprints.fingerprints(docs).collect()
-    ordered = sorted(DOCS, key=lambda d: -order(d[0]))
     assert len(got) == len(DOCS)
-    by = {}
-    for r in got:
-        by.setdefault(r["doc_id"], []).append(r)
-    count = {}
-    for i, _ in DOCS:
-        count[i] = count.get(i, 0) + 1
-    prints = {}
+    ordered = sorted(((i, t or "") for i, t in DOCS), key=lambda d: (-order(d[0]), spark_hash(d[1])))
+    want = []
     for k, (i, t) in enumerate(ordered):
-        for r in by[i]:
-            assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        j, u = ordered[(k + 1) % len(ordered)]
-        if count[i] == 1:
-            r, t, u = by[i][0], t or "", u or ""
-            assert r["n_chars"] == len(t) and prints.setdefault(t, r["fingerprint"]) == r["fingerprint"]
-            if count[j] == 1:
-                edited = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
-                assert r["edited_sha256"] == sha(edited)
-                assert edited != t or r["near_edited"] == 1
-    assert len(set(prints.values())) >= 0.9 * len({" ".join(words_of(t)) for t in prints})
+        u = ordered[(k + 1) % len(ordered)][1]
+        edited = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+        a, b, c = signature(t), signature(edited), signature(u)
+        hexed = lambda s: "".join(f"{x & 0xFFFFFFFF:08x}" for x in s)
+        want.append((i, len(t), sha(edited), hexed(a), hexed(b), same(a, b), same(a, c)))
+    assert rows(fingerprints.fingerprints(docs).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")) == sorted(want, key=repr)
+    assert len({r["fingerprint"] for r in got}) >= 0.9 * len({" ".join(words_of(t)) for _, t in DOCS})
     assert fingerprints.fingerprints(empty).count() == 0
 
 
 def test_fingerprint_by_brute_force(spark):
     """Signatures as the definition has them, for texts with repeated k-mers."""
-    texts = ["a b c d e f g h i j a b c d e f g h", " ".join("xy"[i % 2] for i in range(60)), "a b", "q " * 9]
-    got = fingerprints.with_signature(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "sig").collect()
-    hashed = lambda *parts: spark.sql("SELECT xxhash64(" + ", ".join(f"{p}L" if isinstance(p, int) and p > -(2**63) else repr(p) for p in parts) + ")").first()[0]
-    for r in got:
-        words = [hashed(w) for w in r["text"].split()]
-        grams = [hashed(*words[i : i + 5]) for i in range(len(words) - 4)] or [spark.sql(f"SELECT xxhash64(array({', '.join(f'{w}L' for w in words)}))").first()[0]]
-        seen, items = {}, []
-        for i, g in enumerate(grams):
-            n = seen.get(g, 0)
-            seen[g] = n + 1
-            items.append((g if n == 0 else hashed_pair(spark, g, n), i))
-        bins = {}
-        for h, i in sorted(items):
-            bins.setdefault((h % 2**64) >> 58, []).append((h, i))
-        want = {hashed(*[h for h, _ in sorted(b[:2], key=lambda x: x[1])]) >> 32 for b in bins.values()}
-        assert set(r["sig"]) == want
-
-
-def hashed_pair(spark, g, n):
-    return spark.sql(f"SELECT xxhash64({g}L, {n})").first()[0]
+    texts = ["a b c d e f g h i j a b c d e f g h", " ".join("xy"[i % 2] for i in range(60)), "a b", "q " * 9, "q " * 3000, "", "one two three four five six"]
+    for r in fingerprints.with_signature(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "sig").collect():
+        assert r["sig"] == signature(r["text"])
+
+
+@pytest.mark.parametrize("n", [12, 30, 60, 300])
+def test_fingerprints_tell_order(spark, n):
+    """Texts whose halves change places keep most k-mers, but not their order."""
+    rng = random.Random(n)
+    pairs = []
+    for k in range(40):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        pairs.append((k, " ".join(words), " ".join(words[n // 2 :] + words[: n // 2])))
+    signed = fingerprints.with_signature(fingerprints.with_signature(spark.createDataFrame(pairs, "k long, a string, b string"), "a", "sa"), "b", "sb")
+    likeness = [r[0] for r in signed.select(fingerprints.likeness("sa", "sb")).collect()]
+    kept = n - 8  # of n - 4 k-mers
+    assert np.mean(likeness) < 0.8 * kept / (2 * (n - 4) - kept)  # and of the k-mers' Jaccard
 
 
 def test_language_id(spark, docs, empty):
