@@ -190,8 +190,8 @@ def test_simhash_links_through_chains_and_large_buckets(spark):
     values += [int(x) for x in rng.integers(0, 2**63, 200)]
     signed = sorted({v - (1 << 64) if v >> 63 else v for v in values})
     frame = spark.createDataFrame([(v,) for v in signed], "fp long")
-    for pretended in (len(signed), 50_000_000):  # other blocks, same links
-        roots = {r["node"]: r["root"] for r in near_dedup.components(spark, near_dedup.links(spark, frame, pretended)).collect()}
+    for pretended, bucket in ((len(signed), 2048), (50_000_000, 2048), (len(signed) >> 20, 10)):  # other blocks, or buckets in parts: same links
+        roots = {r["node"]: r["root"] for r in near_dedup.components(spark, near_dedup.links(spark, frame, pretended, bucket=bucket)).collect()}
         names = {v: v for v in signed}
         for a in signed:
             for b in signed:

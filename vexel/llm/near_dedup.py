@@ -4,7 +4,8 @@ Fingerprints within LINK bits are linked; documents of linked fingerprints form
 are compared. They are cut into blocks so that any two linked ones agree in some blocks; each such agreement is a bucket.
 Inside a bucket, the distances of every fingerprint to the pivots are computed once, and by the triangle inequality a
 pair whose distances to some pivot differ by more than LINK is discarded without being compared; what survives is
-verified. Buckets are searched breadth first and yield spanning trees, never all pairs. The trees' edges are then
+verified. Buckets are searched breadth first and yield spanning trees, never all pairs. Buckets that are large all the
+same are searched by pairs of their parts, each pair in a task of its own. The trees' edges are then
 contracted to components by alternating stars, on the cluster, with each round written to the shared folder.
 
 How many blocks there are follows from the number of distinct fingerprints, so that buckets stay small; any choice
@@ -29,7 +30,7 @@ from .arrays import joined_words, pieces, words_of
 from .common import join_facts, staged, table, text_or_empty
 
 #: Words of a shingle, differing bits at which fingerprints link, pivots, and fingerprints a bucket should hold at most.
-SHINGLE, LINK, PIVOTS, BUCKET = 4, 4, 8, 2048
+SHINGLE, LINK, PIVOTS, BUCKET = 4, 4, 32, 2048
 SEED = 42
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -143,12 +144,18 @@ def _search(values: np.ndarray, table: np.ndarray, link: int) -> list[tuple[int,
     return edges
 
 
-def links(spark: SparkSession, distinct: DataFrame, number: int, link: int = LINK) -> DataFrame:
+def links(spark: SparkSession, distinct: DataFrame, number: int, link: int = LINK, bucket: int = BUCKET) -> DataFrame:
     """distinct (fp): edges (a, b) that connect exactly the fingerprints that links connect."""
-    masks = block_masks(number, link)
+    masks = block_masks(number, link, bucket)
     keys = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("block")) for i, m in enumerate(masks)])
-    rows = distinct.select("fp", F.explode(keys).alias("key")).select("fp", F.xxhash64("key").alias("bucket"), F.bit_count("fp").cast("int").alias("ones"))
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "ones")
+    rows = distinct.select("fp", F.explode(keys).alias("key")).select("fp", F.xxhash64("key").alias("bucket"))
+    sizes = staged(spark, rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    shared = join_facts(rows, sizes, ["bucket"], "n", max(1, number * len(masks)))
+    # a bucket larger than BUCKET is searched by pairs of its parts, so no task holds more than two parts of it
+    parts = shared.withColumn("parts", F.ceil(F.col("n") / bucket).cast("int")).withColumn("mine", F.pmod(F.xxhash64("bucket", "fp"), F.col("parts")).cast("int"))
+    dealt = parts.select("fp", "bucket", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("fp", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), F.bit_count("fp").cast("int").alias("ones"))
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "ones")
     refs = pivots()
 
     def run(batches):
