@@ -103,14 +103,29 @@ def round_half(values: np.ndarray, kind: str) -> np.ndarray:
 
 
 def matrix_distance(metric: str, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Distances of all queries (lines) to all rows (columns) of a block, by matrix products."""
+    """Distances of all queries (lines) to all rows (columns) of a block, by matrix products; of bit vectors (64-bit words)
+    by counting bits."""
     if metric in ("l2", "l2_sq"):
         sq = np.maximum((queries**2).sum(1)[:, None] + (rows**2).sum(1)[None] - 2 * queries @ rows.T, 0)
         return sq if metric == "l2_sq" else np.sqrt(sq)
     if metric == "ip":
         return -(queries @ rows.T)
-    size = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1)[None]
-    return 1 - np.divide(queries @ rows.T, size, out=np.zeros_like(size), where=size > 0)
+    if metric == "cosine":
+        size = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1)[None]
+        return 1 - np.divide(queries @ rows.T, size, out=np.zeros_like(size), where=size > 0)
+    if metric in ("l1", "linf"):
+        out = np.zeros((len(queries), len(rows)))
+        for q, r in zip(queries.T, rows.T):
+            out = out + np.abs(q[:, None] - r) if metric == "l1" else np.maximum(out, np.abs(q[:, None] - r))
+        return out
+    if metric in ("hamming", "jaccard"):
+        pairs = [(q[:, None], r) for q, r in zip(queries.astype(np.int64).T, rows.astype(np.int64).T)]
+        count = lambda f: sum((np.bitwise_count(f(q, r).view(np.uint64)).astype(np.float64) for q, r in pairs), np.zeros((len(queries), len(rows))))
+        if metric == "hamming":
+            return count(np.bitwise_xor)
+        either = count(np.bitwise_or)
+        return 1 - np.divide(count(np.bitwise_and), either, out=np.ones_like(either), where=either > 0)
+    raise ValueError(f"unknown metric {metric!r}")
 
 
 def dtw(a: np.ndarray, b: np.ndarray, cost: str = "l2", window: int | None = None, slope: float | None = None) -> float:
@@ -132,11 +147,19 @@ def dtw(a: np.ndarray, b: np.ndarray, cost: str = "l2", window: int | None = Non
     if slope is not None:
         ratio = (i + 1) / (j + 1)
         each = np.where((ratio <= max(slope, 1.0)) & (1 / ratio <= max(slope, 1.0)), each, np.inf)
-    row = np.full(m + 1, np.inf)
-    row[0] = 0.0
-    for line in each:
-        new = np.full(m + 1, np.inf)
-        for k in range(m):
-            new[k + 1] = line[k] + min(row[k + 1], row[k], new[k])
-        row = new
-    return float(row[m])
+    return float(_warped(each[None])[0])
+
+
+def _warped(each: np.ndarray) -> np.ndarray:
+    """Least path costs through a stack of cost tables (pairs, n, m), one anti-diagonal of all tables at a time."""
+    pairs, n, m = each.shape
+    before, last = np.full((pairs, n + 1), np.inf), np.full((pairs, n + 1), np.inf)  # by line, from 1; two diagonals back, and one
+    before[:, 0] = 0.0
+    for k in range(n + m - 1):
+        lo, hi = max(0, k - m + 1), min(n, k + 1)
+        i = np.arange(lo, hi)
+        best = np.minimum(np.minimum(last[:, i], last[:, i + 1]), before[:, i])
+        now = np.full((pairs, n + 1), np.inf)
+        now[:, i + 1] = each[:, i, k - i] + best
+        before, last = last, now
+    return last[:, n]

@@ -6,16 +6,18 @@ takes distances to the queries by matrix products, so all models share one searc
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import base64
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import distances as D
 from .cluster import kmeans
-from .search import rerank, top
+from .search import least, over_blocks, query_blocks, rerank, top
 
 # scalar quantization as columns: one range for all dimensions
 
@@ -382,35 +384,43 @@ def fit_pair(rows: np.ndarray, queries: np.ndarray, dim: int) -> tuple[Principal
     return Principal.fit(rows, dim), Principal.fit(queries, dim)
 
 
-def encoded(base: DataFrame, model, keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """base's columns `keep` and `code` (binary), encoded in Arrow batches."""
+def encoded(base: DataFrame, model, keep: tuple[str, ...] = ("id",), centroids: np.ndarray | None = None) -> DataFrame:
+    """base's columns `keep` and `code` (binary), encoded in Arrow batches; with centroids, of what the row's list leaves
+    over (base has `list` then)."""
+    read = [*dict.fromkeys([*keep, "vec", *(["list"] if centroids is not None else [])])]
+    dim = None if centroids is None else centroids.shape[1]
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 rows = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                codes = np.ascontiguousarray(model.encode(rows))
+                left = rows if dim is None else rows - centroids[batch.column("list").to_numpy()]
+                codes = np.ascontiguousarray(model.encode(left))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([c.tobytes() for c in codes], pa.binary())], names=[*keep, "code"])
 
-    fields = ", ".join(f"{c} {base.schema[c].dataType.simpleString()}" for c in keep)
-    return base.select(*keep, "vec").mapInArrow(run, f"{fields}, code binary")
+    schema = T.StructType([*(base.schema[c] for c in keep), T.StructField("code", T.BinaryType())])
+    return base.select(*read).mapInArrow(run, schema)
+
+
+def codes_of(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
 
 
 def code_search(codes: DataFrame, queries: DataFrame, model, k: int, metric: str = "l2") -> DataFrame:
-    """The k nearest by what the codes decode to. Queries are collected: they are the bounded side."""
-    rows = queries.select("query_id", "q").collect()
-    ids = np.array([r["query_id"] for r in rows], np.int64)
-    block = np.array([r["q"] for r in rows], np.float64).reshape(len(rows), -1)
+    """The k nearest by what the codes decode to. Queries are collected, a block at a time."""
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows and len(ids):
-                code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                far = np.round(D.matrix_distance(metric, block, model.decode(code)), 9) + 0.0
-                order = np.argsort(far, axis=1, kind="stable")[:, :k]
-                yield pa.record_batch({"query_id": np.repeat(ids, order.shape[1]), "id": batch.column("id").to_numpy()[order].ravel(), "distance": np.take_along_axis(far, order, 1).ravel()})
+    def search(ids, block):
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    far = np.round(D.matrix_distance(metric, block, model.decode(codes_of(batch))), 9) + 0.0
+                    number = batch.column("id").to_numpy()
+                    line, column = least(far, number, k)
+                    yield pa.record_batch({"query_id": ids[line], "id": number[column], "distance": far[line, column]})
+
+        return run
 
-    return top(codes.select("id", "code").mapInArrow(run, "query_id long, id long, distance double"), k).select("query_id", "rank", "id", "distance")
+    return over_blocks(codes.select("id", "code"), query_blocks(queries), search, k)
 
 
 def two_stage(base: DataFrame, queries: DataFrame, model, k: int, factor: int = 4, metric: str = "l2") -> DataFrame:
@@ -418,25 +428,61 @@ def two_stage(base: DataFrame, queries: DataFrame, model, k: int, factor: int =
     return rerank(code_search(encoded(base, model), queries, model, factor * k, metric), base, queries, k, metric)
 
 
-def ivf_code_search(codes: DataFrame, queries: DataFrame, centroids: np.ndarray, model, k: int, nprobe: int, metric: str = "l2") -> DataFrame:
-    """Like code_search, in the lists that each query visits. codes: (list, id, code); lists nobody visits aren't read."""
-    rows = queries.select("query_id", "q").collect()
-    ids = np.array([r["query_id"] for r in rows], np.int64)
-    block = np.array([r["q"] for r in rows], np.float64).reshape(len(rows), -1)
+def visits_of(block: np.ndarray, centroids: np.ndarray, nprobe: int, metric: str) -> np.ndarray:
+    """Which lists (columns) each query (line) visits: its nprobe nearest centroids, the lower of equal ones."""
     order = np.argsort(np.round(D.matrix_distance(metric, block, centroids), 9), axis=1, kind="stable")[:, :nprobe]
-    visits = np.zeros((len(ids), len(centroids)), bool)
+    visits = np.zeros((len(block), len(centroids)), bool)
     np.put_along_axis(visits, order, True, 1)
+    return visits
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                far = np.round(D.matrix_distance(metric, block, model.decode(code)), 9) + 0.0
-                far[~visits[:, batch.column("list").to_numpy()]] = np.inf
-                near = np.argsort(far, axis=1, kind="stable")[:, :k]
-                far = np.take_along_axis(far, near, 1)
-                on = np.isfinite(far)
-                yield pa.record_batch({"query_id": np.broadcast_to(ids[:, None], far.shape)[on], "id": batch.column("id").to_numpy()[near][on], "distance": far[on]})
-
-    read = codes.where(F.col("list").isin([int(x) for x in np.flatnonzero(visits.any(0))])).select("list", "id", "code")
-    return top(read.mapInArrow(run, "query_id long, id long, distance double"), k).select("query_id", "rank", "id", "distance")
+
+def ivf_code_search(codes: DataFrame, queries: DataFrame, centroids: np.ndarray, model, k: int, nprobe: int, metric: str = "l2", residual: bool = False) -> DataFrame:
+    """Like code_search, in the lists that each query visits. codes: (list, id, code); lists nobody visits aren't read.
+    residual: codes are of what the list's centroid leaves over."""
+    blocks = query_blocks(queries)
+    visited = np.zeros(len(centroids), bool)
+    for _, block in blocks:
+        visited |= visits_of(block, centroids, nprobe, metric).any(0)
+
+    def search(ids, block):
+        visits = visits_of(block, centroids, nprobe, metric)
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    lists, number = batch.column("list").to_numpy(), batch.column("id").to_numpy()
+                    rows = model.decode(codes_of(batch)) + (centroids[lists] if residual else 0.0)
+                    far = np.round(D.matrix_distance(metric, block, rows), 9) + 0.0
+                    far[~visits[:, lists]] = np.inf
+                    line, column = least(far, number, k)
+                    yield pa.record_batch({"query_id": ids[line], "id": number[column], "distance": far[line, column]})
+
+        return run
+
+    read = codes.where(F.col("list").isin([int(x) for x in np.flatnonzero(visited)])).select("list", "id", "code")
+    return over_blocks(read, blocks, search, k)
+
+
+# models as text, so that an index can be stored: class names and fields, arrays as base64
+
+MODELS = {c.__name__: c for c in (Scalar, Half, Product, Weighted, Rotated, Residual, Split, Uniform, Affine, Turbo, Principal)}
+
+
+def as_json(model):
+    if isinstance(model, np.ndarray):
+        return {"dtype": model.dtype.str, "shape": model.shape, "bytes": base64.b64encode(np.ascontiguousarray(model).tobytes()).decode()}
+    if isinstance(model, list):
+        return [as_json(x) for x in model]
+    if type(model).__name__ in MODELS:
+        return {"model": type(model).__name__, "fields": {f.name: as_json(getattr(model, f.name)) for f in fields(model)}}
+    return model
+
+
+def from_json(told):
+    if isinstance(told, list):
+        return [from_json(x) for x in told]
+    if isinstance(told, dict) and "model" in told:
+        return MODELS[told["model"]](**{k: from_json(v) for k, v in told["fields"].items()})
+    if isinstance(told, dict):
+        return np.frombuffer(base64.b64decode(told["bytes"]), np.dtype(told["dtype"])).reshape(told["shape"])
+    return told

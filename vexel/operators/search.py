@@ -21,8 +21,8 @@ from ..functions import distances as D
 
 #: Queries that are broadcast at once.
 BLOCK = 2048
-#: Rows beyond the k nearest of a block that are compared exactly.
-SPARE = 16
+#: Metrics of bit vectors.
+BITS = ("hamming", "jaccard")
 
 
 def in_blocks(queries: DataFrame, run: Callable[[DataFrame], DataFrame], block: int = BLOCK) -> DataFrame:
@@ -65,38 +65,69 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> Data
     return top(scored, k).select("query_id", "rank", "id", "distance")
 
 
+def query_blocks(queries: DataFrame, dtype=np.float64) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the queries, BLOCK (about) at a time."""
+    parts = -(-queries.count() // BLOCK)
+    cut = F.pmod(F.xxhash64("query_id"), F.lit(max(1, parts)))
+    out = []
+    for i in range(parts):
+        rows = queries.where(cut == i).select("query_id", "q").collect()
+        if rows:
+            out.append((np.array([r["query_id"] for r in rows], np.int64), np.array([r["q"] for r in rows], dtype)))
+    return out
+
+
+def over_blocks(base: DataFrame, blocks: list, run: Callable, k: int) -> DataFrame:
+    """The k best of what run(ids, block) yields from base's Arrow batches, for all blocks of queries."""
+    schema = "query_id long, id long, distance double"
+    found = [base.mapInArrow(run(ids, block), schema) for ids, block in blocks]
+    empty = base.sparkSession.createDataFrame([], schema)
+    return top(reduce(DataFrame.unionByName, found, empty) if len(found) != 1 else found[0], k).select("query_id", "rank", "id", "distance")
+
+
+def least(far: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lines and columns of the k least of each line, ties to the smaller id, however many rows tie. inf never counts."""
+    mask = np.isfinite(far)
+    if far.shape[1] > k > 0:
+        mask &= far <= np.partition(far, k - 1, 1)[:, k - 1 : k]
+    line, column = np.nonzero(mask)
+    order = np.lexsort((ids[column], far[line, column], line))
+    line, column = line[order], column[order]
+    nth = np.arange(len(line)) - np.searchsorted(line, line)
+    return line[nth < k], column[nth < k]
+
+
 def knn_blocks(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """The same by matrix products in Arrow batches: each batch yields its k best a query. Queries are collected, BLOCK
     at a time at most."""
-    total = queries.count()
-    parts = -(-total // BLOCK) or 1
-    cut = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-    found = []
-    for i in range(parts):
-        rows = queries.where(cut == i).select("query_id", "q").collect()
-        ids = np.array([r["query_id"] for r in rows], np.int64)
-        block = np.array([r["q"] for r in rows], np.float64).reshape(len(rows), -1)
-        found.append(base.select("id", "vec").mapInArrow(_block_search(ids, block, k, metric), "query_id long, id long, distance double"))
-    return top(reduce(DataFrame.unionByName, found), k).select("query_id", "rank", "id", "distance")
+    blocks = query_blocks(queries, np.int64 if metric in BITS else np.float64)
+    return over_blocks(base.select("id", "vec"), blocks, lambda ids, block: _block_search(ids, block, k, metric), k)
+
+
+def vectors_of(batch: pa.RecordBatch, column: str = "vec", dtype=np.float64) -> np.ndarray:
+    return batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(batch.num_rows, -1)
 
 
 def _block_search(query_ids: np.ndarray, queries: np.ndarray, k: int, metric: str):
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            if not n or not len(queries):
+            if not batch.num_rows:
                 continue
-            ids = batch.column("id").to_numpy()
-            rows = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-            far = D.matrix_distance(metric, queries, rows)
-            near = np.argpartition(far, min(k + SPARE, n) - 1, 1)[:, : k + SPARE] if n > k + SPARE else np.broadcast_to(np.arange(n), (len(queries), n))
-            far = np.take_along_axis(far, near, 1)
-            if metric == "l2":  # matrix products cancel; what may be among the k is computed from differences
-                far = np.sqrt(((rows[near] - queries[:, None]) ** 2).sum(2))
+            ids, rows = batch.column("id").to_numpy(), vectors_of(batch, dtype=queries.dtype)
+            if metric == "l2":  # matrix products cancel: what may be among the k, within their error, is computed from differences
+                sq = D.matrix_distance("l2_sq", queries, rows)
+                error = 8 * (rows.shape[1] + 4) * np.finfo(float).eps * ((queries**2).sum(1)[:, None] + (rows**2).sum(1)[None])
+                far, n = np.full(sq.shape, np.inf), min(k, sq.shape[1]) - 1
+                limit = np.sqrt(np.partition(sq + error, n, 1)[:, n : n + 1]) + 1e-9
+                line, column = np.nonzero(np.sqrt(np.maximum(sq - error, 0)) <= limit)
+                for a in range(0, len(line), 1 << 16):
+                    i, j = line[a : a + (1 << 16)], column[a : a + (1 << 16)]
+                    far[i, j] = np.sqrt(((rows[j] - queries[i]) ** 2).sum(1))
+            else:
+                far = D.matrix_distance(metric, queries, rows)
             far = np.round(far, 9) + 0.0
-            order = np.lexsort((ids[near], far))[:, :k]
-            far, order = np.take_along_axis(far, order, 1), np.take_along_axis(near, order, 1)
-            yield pa.record_batch({"query_id": np.repeat(query_ids, order.shape[1]), "id": ids[order].ravel(), "distance": far.ravel()})
+            line, column = least(far, ids, k)
+            yield pa.record_batch({"query_id": query_ids[line], "id": ids[column], "distance": far[line, column]})
 
     return run
 
