@@ -47,6 +47,7 @@ def test_dtw():
         return math.dist(a[i], b[j]) + min(brute(i - 1, j), brute(i, j - 1), brute(i - 1, j - 1))
 
     assert D.dtw(a, b) == pytest.approx(brute(6, 8))
+    assert D.dtw(line(1), line(4)) == 3 and D.dtw(line(1, 2, 3, 4), line(2)) == 1 + 0 + 1 + 2
     assert D.dtw(a, b, slope=2.0) >= D.dtw(a, b) and D.dtw(a, b, window=20) == pytest.approx(D.dtw(a, b))
 
 
@@ -190,24 +191,83 @@ def cloud(spark):
     return base, base.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("q"))
 
 
-@pytest.mark.parametrize("kind", ["flat", "ivf_flat", "ivf_sq8", "ivf_pq", "ivf_usq", "ivf_turboquant", "hnsw", "hnsw_sq", "hnsw_prq", "scann", "diskann"])
+def same(a, b):
+    key = lambda df: sorted(tuple(r) for r in df.select("query_id", "rank", "id", "distance").collect())
+    return key(a) == key(b)
+
+
+@pytest.mark.parametrize("kind", ["flat", "ivf_flat", "ivf_sq8", "ivf_pq", "ivf_usq", "ivf_turboquant", "hnsw", "hnsw_sq", "hnsw_pq", "hnsw_prq", "scann", "diskann"])
 def test_index(spark, cloud, kind, tmp_path):
     base, asked = cloud
-    index = api.index(spark, kind, 16, nlist=12, nprobe=6, m=8, nbits=6, rerank=10)
+    index = api.index(spark, kind, 16, nlist=12, nprobe=6, m=8, nbits=6, rerank=4)
     if kind != "flat":
         with pytest.raises(api.NotTrained):
             index.add(base)
-    index.train(base).add(base)
+    index.train(base).add(base.where("id < 700")).add(base.where("id >= 700"))
     truth = search.knn(base, asked, 10)
     assert evaluate.recall_micro(index.search(asked, 10), truth, 10).first()[0] >= 0.9
     found = index.search(asked, 10, where=F.col("label") == 1).join(base, "id")
     assert found.count() == 10 * asked.count() and found.where("label <> 1").count() == 0
+    near = sorted((r["query_id"], r["id"]) for r in index.range_search(asked, 5.0).collect())
+    assert near == sorted((r["query_id"], r["id"]) for r in search.range_search(base, asked, 5.0).collect())
     index.remove(base.where("id % 2 = 0"))
     assert index.count == 600 and index.search(asked, 5).where("id % 2 = 0").count() == 0
     index.save(str(tmp_path / kind))
     again = api.VectorIndex.load(spark, str(tmp_path / kind))
     assert again.count == 600 and again.config == index.config
+    assert same(index.search(asked, 10), again.search(asked, 10))
     assert evaluate.recall_micro(again.search(asked, 10), search.knn(base.where("id % 2 = 1"), asked, 10), 10).first()[0] >= 0.9
+    wanted = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "ord long, id long")
+    back = {r["id"]: np.array(r["vec"]) for r in again.reconstruct(wanted).collect()}
+    real = {r["id"]: np.array(r["vec"]) for r in base.where("id < 4").collect()}
+    assert set(back) == {1, 3} and all(((back[i] - real[i]) ** 2).sum() < 0.3 * (real[i] ** 2).sum() for i in back)
+    assert [r["found"] for r in again.has_id(wanted).orderBy("id").collect()] == [True, False, True]
+
+
+@pytest.mark.parametrize("kind", ["bin_flat", "bin_ivf_flat", "bin_hnsw"])
+def test_binary_index(spark, cloud, kind, tmp_path):
+    base, _ = cloud
+    base = base.select("id", "label", F.array_append(D.sign_bits("vec"), F.col("id") % 7).alias("vec")).cache()
+    asked = base.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("q"))
+    index = api.index(spark, kind, 128, "hamming", nlist=8, nprobe=6).train(base).add(base)
+    truth = search.knn(base, asked, 10, "hamming")
+    worst = {r["query_id"]: r["distance"] for r in truth.where("rank = 10").collect()}
+    found = index.search(asked, 10).collect()
+    assert sum(r["distance"] <= worst[r["query_id"]] for r in found) >= 0.9 * 10 * asked.count()  # ties are many
+    assert same(index.search(asked, 10), truth) or kind != "bin_flat"
+    index.save(str(tmp_path / kind))
+    assert same(index.search(asked, 5), api.VectorIndex.load(spark, str(tmp_path / kind)).search(asked, 5))
+
+
+def test_block_search_is_exact(spark):
+    """Many equal rows, rows that cancel, an empty query table, metrics that there aren't."""
+    base = spark.createDataFrame([(i, [1e6, 1e6 + (i % 3) * 1e-4]) for i in range(200)], "id long, vec array<double>").coalesce(1)
+    asked = spark.createDataFrame([(0, [1e6, 1e6]), (1, [0.0, 1.0])], "query_id long, q array<double>")
+    assert same(search.knn_blocks(base, asked, 10), search.knn(base, asked, 10))
+    assert [r["id"] for r in search.knn_blocks(base, asked, 10).where("query_id = 0").orderBy("rank").collect()] == list(range(0, 30, 3))
+    codes, model = quantize.encoded(base, quantize.Scalar(0.0, 1.0)), quantize.Scalar(0.0, 1.0)
+    assert [r["id"] for r in quantize.code_search(codes, asked, model, 5).where("query_id = 1").orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+    for metric in ("l1", "linf", "cosine", "ip"):
+        assert same(search.knn_blocks(base, asked, 7, metric), search.knn(base, asked, 7, metric))
+    none = asked.limit(0)
+    stored = graph.build(base.withColumn("list", F.lit(0)))
+    for empty in (search.knn_blocks(base, none, 3), quantize.code_search(codes, none, model, 3), graph.walk(stored, none, 3),
+        quantize.ivf_code_search(codes.withColumn("list", F.lit(0)), none, np.zeros((1, 2)), model, 3, 1)):
+        assert empty.count() == 0
+    with pytest.raises(ValueError):
+        D.matrix_distance("chebyshov", np.zeros((1, 2)), np.zeros((1, 2)))
+
+
+def test_graph_cells_are_bounded(spark, monkeypatch):
+    """A list of many equal rows is cut into parts, and nothing is lost."""
+    monkeypatch.setattr(graph, "CELL", 100)
+    base = spark.range(1000).select(F.lit(0).alias("list"), "id", F.array(F.lit(1.0), (F.col("id") >= 900).cast("double")).alias("vec"))
+    stored = graph.build(base, 4).cache()
+    assert stored.groupBy("list", "part").count().agg(F.max("count")).first()[0] < 200 and stored.count() == 1000
+    asked = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, q array<double>")
+    assert [r["distance"] for r in graph.walk(stored, asked, 20).collect()] == [0.0] * 20
+    live = base.where("id >= 890")
+    assert graph.walk(stored, asked, 5, live=live).where("id < 890").count() == 0
 
 
 def test_more_probes_never_lower_recall(spark, cloud):

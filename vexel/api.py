@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
+from .functions import distances as D
 from .operators import cluster, graph, lsh, multivector, quantize, search, sparse
 from .sources import store
-from .types import IndexConfig, Metric
+from .types import DType, IndexConfig, Metric, adaptive_ef
 
 
 class NotTrained(RuntimeError):
@@ -18,8 +20,11 @@ class NotTrained(RuntimeError):
 
 
 _IVF = {"ivf_flat", "ivf_flat_cc", "ivf_sq8", "ivf_sq_cc", "ivf_pq", "ivf_usq", "ivf_turboquant"}
+#: Kinds whose codes are of what a list's centroid leaves over.
+_RESIDUAL = {"ivf_sq8", "ivf_sq_cc", "ivf_pq"}
 _SCANNED = {"hnsw_sq", "hnsw_pq", "hnsw_prq", "scann"}
-_GRAPH = {"hnsw", "diskann", "aisaq", "rhtsdg"}
+_GRAPH = {"hnsw", "diskann", "aisaq", "rhtsdg", "bin_hnsw"}
+_FLAT = {"flat", "bin_flat"}
 
 
 def _model(config: IndexConfig, rows):
@@ -39,47 +44,85 @@ def _model(config: IndexConfig, rows):
 class VectorIndex:
     """Vectors (id, vec, any scalars) under one kind of index. Searches are lazy; training is a job on a bounded sample.
 
-    Every approximate kind reranks its candidates exactly. Filters hold below the ranking.
+    Rows get their list and code when they are added, and are stored with them, as are centroids, model and graphs, so a
+    loaded index is the one that was saved. Graphs are built when they are first needed after an addition. Every
+    approximate kind reranks its candidates exactly. Filters hold below the ranking, or, in a graph, where its walk ends.
     """
 
     def __init__(self, spark: SparkSession, config: IndexConfig):
         self.spark, self.config = spark, config
+        self.binary = config.kind.startswith("bin") or config.metric.value in search.BITS
         self.rows: DataFrame | None = None
         self.deleted: DataFrame | None = None
-        self.centroids, self.model, self.trained = None, None, config.kind in ("flat", "bin_flat")
+        self.graphs: DataFrame | None = None
+        self.centroids, self.model, self.trained = None, None, config.kind in _FLAT
 
     def train(self, base: DataFrame) -> VectorIndex:
-        if self.config.kind not in ("flat", "bin_flat", "sparse_inverted"):
-            rows = cluster.sampled(base.select("id", "vec"))
-            cells = self.config.nlist if self.config.kind in _IVF else max(1, min(self.config.nlist, len(rows) // 500))
-            self.centroids = cluster.kmeans(rows, max(1, min(cells, len(rows))), self.config.seed, spherical=self.config.metric is not Metric.L2)
-            self.model = _model(self.config, rows)
+        kind, metric = self.config.kind, self.config.metric.value
+        if kind not in _FLAT:
+            rows = cluster.sampled(base.select("id", "vec"), dtype=np.int64 if self.binary else np.float64)
+            cells = self.config.nlist if kind in _IVF or kind == "bin_ivf_flat" else graph.cells_for(base.count())
+            cells = max(1, min(cells, len(rows)))
+            self.centroids = cluster.bit_kmeans(rows, cells, self.config.seed) if self.binary else cluster.kmeans(rows, cells, self.config.seed, spherical=metric != "l2")
+            if len(rows):
+                near = D.matrix_distance(metric, rows, self.centroids).argmin(1)
+                self.model = _model(self.config, rows - self.centroids[near] if kind in _RESIDUAL else rows)
         self.trained = True
         return self
 
     def add(self, base: DataFrame) -> VectorIndex:
         if not self.trained:
             raise NotTrained(self.config.kind)
-        vec = "vec" if self.config.kind.startswith("bin") else F.transform("vec", lambda x: x.cast("double")).alias("vec")
+        vec = F.col("vec") if self.binary else F.transform("vec", lambda x: x.cast("double")).alias("vec")
         base = base.select("id", vec, *[c for c in base.columns if c not in ("id", "vec")])
         if self.centroids is not None:
-            base = cluster.assign_blocks(base, self.centroids)
-        self.rows = base if self.rows is None else self.rows.unionByName(base)
+            base = cluster.assign_blocks(base, self.centroids, self.config.metric.value)
+        if self.model is not None:
+            base = quantize.encoded(base, self.model, tuple(base.columns), self._centres())
+        self.rows, self.graphs = base if self.rows is None else self.rows.unionByName(base), None
         return self
 
+    def _centres(self):
+        return self.centroids if self.config.kind in _RESIDUAL else None
+
     def remove(self, ids: DataFrame) -> VectorIndex:
         ids = ids.select("id")
         self.deleted = ids if self.deleted is None else self.deleted.union(ids)
         return self
 
     def reset(self) -> None:
-        self.rows = self.deleted = None
+        self.rows = self.deleted = self.graphs = None
+
+    def has_id(self, ids: DataFrame) -> DataFrame:
+        """ids with `found`: whether the index has them."""
+        there = self._live().select("id").distinct().withColumn("found", F.lit(True))
+        return ids.select("id").join(there, "id", "left").select("id", F.coalesce("found", F.lit(False)).alias("found"))
+
+    def reconstruct(self, wanted: DataFrame) -> DataFrame:
+        """ord, id and vec of requested rows (ord, id) as their codes give them back, or as they are where there are none."""
+        rows = wanted.join(self._live(), "id")
+        if self.model is None:
+            return rows.select("ord", "id", "vec")
+        model, centres = self.model, self._centres()
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    back = model.decode(quantize.codes_of(batch)) + (centres[batch.column("list").to_numpy()] if centres is not None else 0.0)
+                    yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("id"), pa.array([list(map(float, x)) for x in back], pa.list_(pa.float64()))], names=["ord", "id", "vec"])
+
+        return rows.select(F.col("ord").cast("long").alias("ord"), "id", "list", "code").mapInArrow(run, "ord long, id long, vec array<double>")
 
     def _live(self, excluded=None, allowed=None, where: Column | None = None) -> DataFrame:
         if self.rows is None:
             raise NotTrained("nothing was added")
         return search.excluding(search.excluding(self.rows, self.deleted), excluded, allowed, where)
 
+    def _graphs(self) -> DataFrame:
+        if self.graphs is None:
+            self.graphs = graph.build(self.rows.select("list", "id", "vec"), self.config.degree, self.config.metric.value).persist()
+        return self.graphs
+
     @property
     def count(self) -> int:
         return 0 if self.rows is None else self._live().count()
@@ -88,19 +131,31 @@ class VectorIndex:
         """query_id, rank, id, distance. queries: (query_id, q)."""
         rows, metric, kind = self._live(excluded, allowed, where), self.config.metric.value, self.config.kind
         nprobe = min(nprobe or self.config.nprobe, len(self.centroids)) if self.centroids is not None else 0
-        if kind in ("flat", "bin_flat", "bin_hnsw", "bin_ivf_flat"):
-            return search.knn(rows, queries, k, metric)
+        if kind in _FLAT:
+            return search.knn_blocks(rows, queries, k, metric)
         if kind in _GRAPH:
-            return graph.graph_search(rows.select("list", "id", "vec"), queries, k, self.config.degree, max(self.config.ef, 2 * k), metric)
+            filtered = any(x is not None for x in (self.deleted, excluded, allowed, where))
+            if filtered:
+                total, left = self.rows.count(), rows.count()
+                if search.scan_is_better(total, total - left, k):
+                    return search.knn_blocks(rows, queries, k, metric)
+            return graph.walk(self._graphs(), queries, k, adaptive_ef(self.config.ef, k), metric, self.centroids, nprobe, rows if filtered else None)
         if self.model is None:
             return cluster.ivf_search(rows.select("list", "id", "vec"), queries, cluster.as_table(self.spark, self.centroids), k, nprobe, metric)
-        codes = quantize.encoded(rows, self.model, ("id", "list"))
         pool = self.config.rerank * k
-        found = quantize.code_search(codes, queries, self.model, pool, metric) if kind in _SCANNED else quantize.ivf_code_search(codes, queries, self.centroids, self.model, pool, nprobe, metric)
+        if kind in _SCANNED:
+            found = quantize.code_search(rows.select("id", "code"), queries, self.model, pool, metric)
+        else:
+            found = quantize.ivf_code_search(rows.select("list", "id", "code"), queries, self.centroids, self.model, pool, nprobe, metric, kind in _RESIDUAL)
         return search.rerank(found, rows, queries, k, metric)
 
     def range_search(self, queries: DataFrame, radius: float, **filters) -> DataFrame:
-        return search.range_search(self._live(**filters), queries, radius, self.config.metric.value)
+        """All hits. Where lists are cells of a metric space, only those that the radius reaches are read."""
+        rows, metric = self._live(**filters), self.config.metric.value
+        if self.centroids is None or metric not in ("l2", "hamming"):
+            return search.range_search(rows, queries, radius, metric)
+        reaches = cluster.reach(self.rows, cluster.as_table(self.spark, self.centroids), metric)
+        return cluster.pruned_range(rows.select("list", "id", "vec"), queries, reaches, radius, metric)
 
     def iterate(self, queries: DataFrame, first: int, size: int, **filters) -> DataFrame:
         """One page of a search's ranks."""
@@ -110,21 +165,21 @@ class VectorIndex:
         return search.by_ids(self._live(), wanted)
 
     def save(self, path: str) -> None:
-        parts = {"vectors": self._live()}
-        if self.centroids is not None:
-            parts["centroids"] = cluster.as_table(self.spark, self.centroids)
-        store.save(path, self.config, parts)
+        """Rows with lists and codes, deleted ids, graphs, centroids and model."""
+        parts = {"vectors": self.rows if self.rows is not None else self.spark.createDataFrame([], "id long, vec array<double>")}
+        if self.deleted is not None:
+            parts["deleted"] = self.deleted.distinct()
+        if self.config.kind in _GRAPH and self.rows is not None:
+            parts["graphs"] = self._graphs()
+        told = {"centroids": self.centroids, "model": self.model}
+        store.save(path, self.config, parts, {k: quantize.as_json(v) for k, v in told.items() if v is not None} | {"trained": self.trained})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> VectorIndex:
-        import numpy as np
-
-        config, parts = store.load(spark, path)
+        config, parts, told = store.load(spark, path)
         index = cls(spark, config)
-        if "centroids" in parts:
-            index.centroids = np.array([r["c"] for r in parts["centroids"].orderBy("list").collect()])
-            index.model = _model(config, cluster.sampled(parts["vectors"].select("id", "vec")))
-        index.rows, index.trained = parts["vectors"], True
+        index.centroids, index.model = (quantize.from_json(told.get(k)) for k in ("centroids", "model"))
+        index.rows, index.deleted, index.graphs, index.trained = parts["vectors"], parts.get("deleted"), parts.get("graphs"), told["trained"]
         return index
 
 
@@ -202,4 +257,6 @@ class Registry:
 
 
 def index(spark: SparkSession, kind: str, dim: int, metric: str = "l2", **options) -> VectorIndex:
-    return VectorIndex(spark, replace(IndexConfig(kind, dim, Metric.parse(metric)), **options))
+    metric = Metric.parse(metric)
+    dtype = DType.BINARY if metric.value in search.BITS else DType.FLOAT
+    return VectorIndex(spark, replace(IndexConfig(kind, dim, metric, options.pop("dtype", dtype)), **options))

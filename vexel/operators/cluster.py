@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import distances as D
-from .search import pairs, rounded, top
+from .search import in_blocks, pairs, rounded, top, vectors_of
 
 #: Rows that a model is fitted on, at most (about). Every row is then assigned and encoded.
 SAMPLE = 50_000
 
 
-def sampled(base: DataFrame, limit: int = SAMPLE) -> np.ndarray:
+def sampled(base: DataFrame, limit: int = SAMPLE, dtype=np.float64) -> np.ndarray:
     """At most about `limit` vectors, chosen by a hash of their id, in order of id."""
     share = min(1.0, limit / max(1, base.count()))
     rows = base.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(share * 1_000_000)).select("id", "vec").collect()
-    return np.array([r["vec"] for r in sorted(rows, key=lambda r: r["id"])], np.float64)
+    return np.array([r["vec"] for r in sorted(rows, key=lambda r: r["id"])], dtype)
 
 
 def assign(base: DataFrame, centroids: DataFrame, metric: str = "l2", probes: int = 1) -> DataFrame:
@@ -44,7 +44,7 @@ def assign_blocks(base: DataFrame, centroids: np.ndarray, metric: str = "l2", co
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                rows = batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                rows = vectors_of(batch, column, centroids.dtype)
                 near = np.round(D.matrix_distance(metric, rows, centroids), 9).argmin(1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32())], names=[*batch.schema.names, "list"])
 
@@ -102,8 +102,17 @@ def kmeans(rows: np.ndarray, k: int, seed: int = 42, rounds: int = 25, close: fl
     return centroids
 
 
+def bit_kmeans(rows: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
+    """Centroids of bit vectors (64-bit words): the majority of each bit in the lists that kmeans finds."""
+    if not len(rows):
+        return rows
+    bits = np.unpackbits(rows.view(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little").astype(np.float64)
+    return np.ascontiguousarray(np.packbits(kmeans(bits, k, seed) >= 0.5, axis=1, bitorder="little")).view(np.int64)
+
+
 def as_table(spark, centroids: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centroids)], "list int, c array<double>")
+    kind, plain = ("long", int) if centroids.dtype.kind == "i" else ("double", float)
+    return spark.createDataFrame([(i, [plain(x) for x in c]) for i, c in enumerate(centroids)], f"list int, c array<{kind}>")
 
 
 def inertia(assigned: DataFrame) -> DataFrame:
@@ -124,6 +133,23 @@ def ivf_search(lists: DataFrame, queries: DataFrame, centroids: DataFrame, k: in
     return top(lists.join(visited, "list").select("query_id", "id", far.alias("distance")), k).select("query_id", "rank", "id", "distance")
 
 
+def reach(lists: DataFrame, centroids: DataFrame, metric: str = "l2") -> DataFrame:
+    """list, c and the distance of its farthest row: what says which lists a radius can't reach."""
+    far = lists.join(F.broadcast(centroids), "list").groupBy("list").agg(F.max(D.distance(metric, "vec", "c")).alias("reach"))
+    return centroids.join(far, "list")
+
+
+def pruned_range(lists: DataFrame, queries: DataFrame, reaches: DataFrame, radius: float, metric: str = "l2") -> DataFrame:
+    """All rows within the radius, read only from lists that can hold some: a metric's triangle inequality says which."""
+
+    def run(part: DataFrame) -> DataFrame:
+        near = part.crossJoin(F.broadcast(reaches)).where(D.distance(metric, "q", "c") <= F.col("reach") + radius + 1e-6).select("query_id", "q", "list")
+        scored = lists.join(F.broadcast(near), "list").select("query_id", "id", rounded(D.distance(metric, "vec", "q")).alias("distance"))
+        return scored.where(F.col("distance") <= radius)
+
+    return in_blocks(queries, run)
+
+
 def ivf_range(lists: DataFrame, queries: DataFrame, radius: float, score) -> DataFrame:
     """All rows of all lists within the radius, by an approximate score."""
     return pairs(lists, queries).select("query_id", "id", rounded(score).alias("distance")).where(F.col("distance") <= radius)

@@ -1,23 +1,30 @@
-"""Proximity graphs: edges (src, dst, dist) as a table, built and searched by cells.
+"""Proximity graphs: edges (src, dst, dist) as a table, or a stored index of one graph a cell.
 
-A cell is an inverted list. Neighbours are looked for among the rows of a row's nearest cells, so the graph is built by an
-equi-join, not by all pairs. A search walks the graph of each cell, where it is small, and merges what the cells found.
+A cell is an inverted list, or a part of one that would be larger than CELL rows, so a cell always fits a task. Its graph
+is built once (`build`), stored as a table, and walked by the queries that visit the cell (`walk`). Nodes have levels, as
+in a layered graph: a walk begins at the nearest of a cell's upper nodes, so it needs no links between far groups.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distances as D
-from .search import rounded, top
+from .quantize import visits_of
+from .search import BITS, query_blocks, rounded, top
+
+#: Rows that a walk starts from, rows of a cell at most (about), and rows whose distances to a cell are held at once.
+STARTS, CELL, LINES = 8, 8192, 256
+#: Random links of an upper row.
+FAR_LINKS = 4
+GRAPH = "list int, part int, id long, vec array<{0}>, level int, near array<int>"
 
-#: Rows that a walk starts from.
-STARTS = 4
 
 def knn_edges(cells: DataFrame, degree: int, metric: str = "l2") -> DataFrame:
     """src, rank, dst, dist: the nearest `degree` rows that share a cell. cells: (list, id, vec), a row in one or more."""
@@ -36,10 +43,14 @@ def descend(edges: DataFrame, base: DataFrame, degree: int, metric: str = "l2")
     return top(edges.select("src", "dst", "dist").unionByName(scored), degree, by="dist", per="src", tie="dst").select("src", "rank", "dst", "dist")
 
 
+def level_of(node: Column, m: int = 16, seed: int = 42, most: int = 16) -> Column:
+    """A node's highest layer, geometric with ratio 1/m, from a hash of its id."""
+    u = (F.pmod(F.xxhash64(node, F.lit(seed)), F.lit(1 << 53)) + 1) / float((1 << 53) + 1)
+    return F.least(F.floor(-F.log(u) / float(np.log(m))), F.lit(most)).cast("int")
+
+
 def levels(nodes: DataFrame, m: int = 16, seed: int = 42, most: int = 16) -> DataFrame:
-    """id and its highest layer, geometric with ratio 1/m, from a hash of the id."""
-    u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 53)) + 1) / float((1 << 53) + 1)
-    return nodes.select("id", F.least(F.floor(-F.log(u) / float(np.log(m))), F.lit(most)).cast("int").alias("level"))
+    return nodes.select("id", level_of(F.col("id"), m, seed, most).alias("level"))
 
 
 def alpha_prune(edges: DataFrame, base: DataFrame, alpha: float = 1.2, metric: str = "l2") -> DataFrame:
@@ -91,10 +102,11 @@ def unreachable(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
 
 
-def beam(vec: np.ndarray, near: list[np.ndarray], query: np.ndarray, width: int, k: int, metric: str = "l2", start: tuple[int, ...] = (0,)) -> list[tuple[float, int]]:
-    """Best-first walk of one small graph from some rows: (distance, row) of the k best of a beam of `width`."""
+def beam(vec: np.ndarray, near: list[np.ndarray], query: np.ndarray, width: int, k: int, metric: str = "l2", start: tuple[int, ...] = (0,), live: np.ndarray | None = None) -> list[tuple[float, int]]:
+    """Best-first walk of one small graph from some rows: (distance, row) of the k best of a beam of `width`. Rows that aren't
+    live lead on, but have no place in the beam."""
     first = D.matrix_distance(metric, query[None], vec[list(start)])[0].tolist()
-    seen, open_, best = {*start}, sorted(zip(first, start)), [(-d, x) for d, x in zip(first, start)]
+    seen, open_, best = {*start}, sorted(zip(first, start)), [(-d, x) for d, x in zip(first, start) if live is None or live[x]]
     heapq.heapify(best)
     while open_:
         far, at = heapq.heappop(open_)
@@ -106,42 +118,113 @@ def beam(vec: np.ndarray, near: list[np.ndarray], query: np.ndarray, width: int,
             for d, x in zip(D.matrix_distance(metric, query[None], vec[new])[0].tolist(), new):
                 if len(best) < width or d < -best[0][0]:
                     heapq.heappush(open_, (d, x))
-                    heapq.heappush(best, (-d, x))
-                    if len(best) > width:
-                        heapq.heappop(best)
+                    if live is None or live[x]:
+                        heapq.heappush(best, (-d, x))
+                        if len(best) > width:
+                            heapq.heappop(best)
     return sorted((-d, x) for d, x in best)[:k]
 
 
-def graph_search(cells: DataFrame, queries: DataFrame, k: int, degree: int = 16, ef: int = 64, metric: str = "l2", alpha: float = 1.2) -> DataFrame:
-    """The k nearest by walking each cell's graph. cells: (list, id, vec), a row in one; a cell fits a task.
+def cells_for(rows: int) -> int:
+    """How many cells a graph of so many rows should have."""
+    return max(1, -(-2 * rows // CELL))
+
+
+def _dtype(metric: str):
+    return np.int64 if metric in BITS else np.float64
+
+
+def _linked(vec: np.ndarray, degree: int, alpha: float, metric: str, upper: np.ndarray) -> list[np.ndarray]:
+    """Each row's neighbours: its nearest ones, pruned by occlusion, and those it is a neighbour of, LINES rows at a time.
+    Upper rows are also linked at random, and every row with the upper row nearest to it, so groups far apart hang together."""
+    near: list[set] = [set() for _ in vec]
+    far_ends = np.random.default_rng(len(vec)).permuted(np.tile(upper, (FAR_LINKS, 1)), axis=1)
+    for x, y in zip(np.tile(upper, FAR_LINKS).tolist(), far_ends.ravel().tolist()):
+        if x != y:
+            near[x].add(y)
+            near[y].add(x)
+    width = min(3 * degree + 1, len(vec))
+    for a in range(0, len(vec), LINES):
+        far = D.matrix_distance(metric, vec[a : a + LINES], vec)
+        far[np.arange(len(far)), a + np.arange(len(far))] = np.inf
+        if len(upper):
+            for i, y in enumerate(upper[far[:, upper].argmin(1)].tolist()):
+                if y != a + i:
+                    near[a + i].add(y)
+                    near[y].add(a + i)
+        some = np.argpartition(far, width - 1, 1)[:, :width]
+        some = np.take_along_axis(some, np.lexsort((some, np.take_along_axis(far, some, 1)), axis=1), 1)
+        for i, line in enumerate(some):
+            line = line[np.isfinite(far[i, line])]
+            between = D.matrix_distance(metric, vec[line], vec[line]) if metric != "ip" else None
+            kept: list[int] = []
+            for j in range(len(line)):
+                if len(kept) == degree:
+                    break
+                if between is None or not kept or (alpha * between[j, kept] > far[i, line[j]]).all():
+                    kept.append(j)
+            near[a + i].update(line[kept].tolist())
+            for j in line[kept].tolist():
+                near[j].add(a + i)
+    return [np.array(sorted(n), np.int32) for n in near]
 
-    A cell's graph links its rows to their nearest ones, pruned by occlusion, and back. As in a layer above it, evenly
-    spaced rows are compared first, and a walk starts at the nearest of them, so it needs no links between far groups.
-    """
-    asked = queries.select("query_id", "q").collect()  # the bounded side
-    ids, block = [r["query_id"] for r in asked], np.array([r["q"] for r in asked], float)
+
+def build(rows: DataFrame, degree: int = 16, metric: str = "l2", alpha: float = 1.2) -> DataFrame:
+    """The graph table (list, part, id, vec, level, near) of rows (list, id, vec); near: places in the cell, in order of id."""
+    kind = rows.schema["vec"].dataType.elementType.simpleString()
+    sizes = rows.groupBy("list").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))  # a row a list
+    cells = rows.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    cells = cells.withColumn("level", level_of(F.col("id")))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        vec = np.array(part["vec"].tolist(), float)
-        far = D.matrix_distance(metric, vec, vec)
-        np.fill_diagonal(far, np.inf)
-        near: list[set] = [set() for _ in vec]
-        for i, line in enumerate(far):
-            kept: list[int] = []
-            for j in np.argsort(line, kind="stable")[: 3 * degree]:
-                if len(kept) == degree or not np.isfinite(line[j]):
-                    break
-                if metric != "l2" or not kept or (alpha * far[j, kept] > line[j]).all():
-                    kept.append(int(j))
-            near[i].update(kept)
-            for j in kept:
-                near[j].add(i)
-        entries = np.arange(0, len(vec), max(1, int(np.sqrt(len(vec)) / 2)))
-        closest = np.argsort(D.matrix_distance(metric, block, vec[entries]), axis=1, kind="stable")[:, :STARTS] if len(block) else []
-        lists = [np.array(sorted(n), int) for n in near]
-        number = part["id"].to_numpy()
-        hits = [(q, int(number[x]), round(d, 9) + 0.0) for q, v, c in zip(ids, block, closest) for d, x in beam(vec, lists, v, max(ef, k), k, metric, tuple(entries[c].tolist()))]
+        part = part.sort_values("id").reset_index(drop=True)
+        near = _linked(np.array(part["vec"].tolist(), _dtype(metric)), degree, alpha, metric, np.flatnonzero(part["level"] > 0))
+        return part[["list", "part", "id", "vec", "level"]].assign(near=near)
+
+    return cells.select("list", "part", "id", "vec", "level").groupBy("list", "part").applyInPandas(run, GRAPH.format(kind))
+
+
+def walk(stored: DataFrame, queries: DataFrame, k: int, ef: int = 64, metric: str = "l2", centroids: np.ndarray | None = None, nprobe: int | None = None, live: DataFrame | None = None) -> DataFrame:
+    """The k nearest by walking the stored graphs of the nprobe cells whose centroids are nearest, or of all.
+
+    live: the ids that may be returned; others are walked through all the same.
+    """
+    if live is not None:
+        stored = stored.join(live.select("id").withColumn("live", F.lit(True)), "id", "left")
+    else:
+        stored = stored.withColumn("live", F.lit(True))
+    schema = "query_id long, id long, distance double"
+    found = [stored.sparkSession.createDataFrame([], schema)]
+    for ids, block in query_blocks(queries, _dtype(metric)):
+        visits = visits_of(block, centroids, nprobe, metric) if nprobe and centroids is not None else None
+        visited = stored if visits is None else stored.where(F.col("list").isin([int(x) for x in np.flatnonzero(visits.any(0))]))
+        found.append(visited.groupBy("list", "part").applyInPandas(_walker(ids, block, visits, k, ef, metric), schema))
+    return top(reduce(DataFrame.unionByName, found), k).select("query_id", "rank", "id", "distance")
+
+
+def _walker(ids: np.ndarray, block: np.ndarray, visits: np.ndarray | None, k: int, ef: int, metric: str):
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id").reset_index(drop=True)
+        vec, number, live = np.array(part["vec"].tolist(), block.dtype), part["id"].to_numpy(), part["live"].eq(True).to_numpy()
+        near = [np.asarray(n) for n in part["near"]]
+        height, least_entries = part["level"].to_numpy(), max(STARTS, int(np.sqrt(len(vec))))
+        # the highest level that has enough nodes to begin from, or, without levels that fit, evenly spaced ones
+        above = [np.flatnonzero(height >= h) for h in range(height.max(), 0, -1)]
+        entries = next((e for e in above if len(e) >= least_entries), np.arange(0, len(vec), max(1, int(np.sqrt(len(vec)) / 2))))
+        mine = np.arange(len(ids)) if visits is None else np.flatnonzero(visits[:, part["list"][0]])
+        width, mask = max(ef, k), None if live.all() else live
+        hits = []
+        for a in range(0, len(mine), LINES):
+            some = mine[a : a + LINES]
+            closest = np.argsort(D.matrix_distance(metric, block[some], vec[entries]), axis=1, kind="stable")[:, :STARTS]
+            for q, c in zip(some, closest):
+                best = beam(vec, near, block[q], width, k, metric, tuple(entries[c].tolist()), mask)
+                hits += [(int(ids[q]), int(number[x]), round(d, 9) + 0.0) for d, x in best]
         return pd.DataFrame(hits, columns=["query_id", "id", "distance"])
 
-    found = cells.groupBy("list").applyInPandas(run, "query_id long, id long, distance double")
-    return top(found, k).select("query_id", "rank", "id", "distance")
+    return run
+
+
+def graph_search(cells: DataFrame, queries: DataFrame, k: int, degree: int = 16, ef: int = 64, metric: str = "l2", alpha: float = 1.2) -> DataFrame:
+    """The k nearest by graphs that are built for this search alone, and all walked. cells: (list, id, vec)."""
+    return walk(build(cells, degree, metric, alpha), queries, k, ef, metric)

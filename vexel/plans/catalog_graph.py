@@ -91,8 +91,9 @@ def robust_prune(spark, sf):
 def _walk(spark, sf, excluded: str | None = None) -> DataFrame:
     base = vectors(spark, sf).select("id", "vec")
     rows = search.excluding(base, base.where(excluded)) if excluded else base
-    lists = cluster.kmeans(cluster.sampled(base), 4)
-    return graph.graph_search(cluster.assign_blocks(rows, lists).select("list", "id", "vec"), queries(base), K, degree=24, ef=160)
+    lists = cluster.kmeans(cluster.sampled(base), max(4, graph.cells_for(base.count())))
+    stored = graph.build(cluster.assign_blocks(rows, lists).select("list", "id", "vec"), 24)
+    return graph.walk(stored, queries(base), K, 160, centroids=lists, nprobe=8)
 
 
 @query("graph_beam_knn")
@@ -114,7 +115,7 @@ def graph_beam_filtered(spark, sf):
 def range_graph(spark, sf):
     """A walk of WIDTH hits a query; a query that all of them are in range of may have more, and is answered by a scan."""
     base = vectors(spark, sf).select("id", "vec")
-    lists = cluster.kmeans(cluster.sampled(base), 4)
+    lists = cluster.kmeans(cluster.sampled(base), max(4, graph.cells_for(base.count())))
     found = graph.graph_search(cluster.assign_blocks(base, lists).select("list", "id", "vec"), queries(base), WIDTH, ef=WIDTH).where(f"distance <= {RADIUS}").persist()
     full = [r["query_id"] for r in found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= WIDTH).collect()]
     exact = search.range_search(base, queries(base).where(F.col("query_id").isin(full)), RADIUS)
