@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distances as D
 from .quantize import visits_of
-from .search import BITS, query_blocks, rounded, top
+from .search import BITS, block_nearest, query_blocks, rounded, top
 
 #: Rows that a walk starts from, rows of a cell at most (about), and rows whose distances to a cell are held at once.
 STARTS, CELL, LINES = 8, 8192, 256
@@ -27,9 +27,29 @@ GRAPH = "list int, part int, id long, vec array<{0}>, level int, near array<int>
 
 
 def knn_edges(cells: DataFrame, degree: int, metric: str = "l2") -> DataFrame:
-    """src, rank, dst, dist: the nearest `degree` rows that share a cell. cells: (list, id, vec), a row in one or more."""
-    other = cells.select("list", F.col("id").alias("dst"), F.col("vec").alias("q"))
-    near = cells.join(other, "list").where("id <> dst").select(F.col("id").alias("src"), "dst", rounded(D.distance(metric, "vec", "q")).alias("dist")).distinct()
+    """src, rank, dst, dist: the nearest `degree` rows that share a cell. cells: (list, id, vec), a row in one or more.
+
+    Cells are compared by pairs of their parts of about CELL rows, each pair in a task; `degree` rows a source and pair are
+    shuffled.
+    """
+    sizes = cells.groupBy("list").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))  # a row a cell
+    parts = cells.select("list", "id", "vec").join(F.broadcast(sizes), "list").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    each = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    ends = each.select("list", F.col("mine").alias("a"), F.col("other").alias("b"), "id", "vec", F.lit(True).alias("source"))
+    ends = ends.unionByName(each.select("list", F.col("other").alias("a"), F.col("mine").alias("b"), "id", "vec", F.lit(False).alias("source")))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        mine, rest = part[part["source"]], part[~part["source"]]
+        ids, out = rest["id"].to_numpy(), []
+        vec = np.array(rest["vec"].tolist(), _dtype(metric))
+        for at in range(0, len(mine), LINES) if len(rest) else ():
+            some = mine.iloc[at : at + LINES]
+            line, column, far = block_nearest(np.array(some["vec"].tolist(), _dtype(metric)), vec, ids, degree + 1, metric)
+            out.append(pd.DataFrame({"src": some["id"].to_numpy()[line], "dst": ids[column], "dist": far}))
+        found = pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "dist": []})
+        return found[found["src"] != found["dst"]]
+
+    near = ends.groupBy("list", "a", "b").applyInPandas(run, "src long, dst long, dist double").distinct()
     return top(near, degree, by="dist", per="src", tie="dst").select("src", "rank", "dst", "dist")
 
 
@@ -65,16 +85,32 @@ def alpha_prune(edges: DataFrame, base: DataFrame, alpha: float = 1.2, metric: s
 def robust_prune(edges: DataFrame, base: DataFrame, alpha: float = 1.2, degree: int = 16, metric: str = "l2") -> DataFrame:
     """The greedy form: nearest first, an edge stays unless one already kept occludes it; at most `degree` a source."""
     rows = edges.join(base.select(F.col("id").alias("dst"), "vec"), "dst").select("src", "dst", "dist", "vec")
+    dealt = rows.repartition("src").sortWithinPartitions("src", "dist", "dst")
 
     def prune(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["dist", "dst"]).reset_index(drop=True)
-        vec, kept = np.array(part["vec"].tolist(), float), []
-        for i, far in enumerate(part["dist"]):
-            if len(kept) < degree and (not kept or (alpha * D.matrix_distance(metric, vec[i : i + 1], vec[kept])[0] > far).all()):
-                kept.append(i)
-        return part.loc[kept, ["src", "dst", "dist"]]
-
-    return rows.groupBy("src").applyInPandas(prune, "src long, dst long, dist double")
+        vec, far, kept = np.array(part["vec"].tolist(), float), part["dist"].to_numpy(), []
+        cuts = np.flatnonzero(np.diff(part["src"].to_numpy(), prepend=part["src"].iloc[0] - 1))
+        for a, b in zip(cuts, [*cuts[1:], len(part)]):
+            between, mine = D.matrix_distance(metric, vec[a:b], vec[a:b]), []
+            for i in range(b - a):
+                if len(mine) < degree and (not mine or (alpha * between[i, mine] > far[a + i]).all()):
+                    mine.append(i)
+            kept += [a + i for i in mine]
+        return part.iloc[kept][["src", "dst", "dist"]]
+
+    def run(parts):
+        held = None  # the last source of a batch may go on in the next
+        for part in parts:
+            part = part if held is None else pd.concat([held, part], ignore_index=True)
+            if len(part):
+                whole = part["src"] != part["src"].iloc[-1]
+                held = part[~whole]
+                if whole.any():
+                    yield prune(part[whole].reset_index(drop=True))
+        if held is not None:
+            yield prune(held.reset_index(drop=True))
+
+    return dealt.mapInPandas(run, "src long, dst long, dist double")
 
 
 def with_reverse(edges: DataFrame, degree: int) -> DataFrame:

@@ -108,26 +108,31 @@ def vectors_of(batch: pa.RecordBatch, column: str = "vec", dtype=np.float64) ->
     return batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(batch.num_rows, -1)
 
 
+def block_nearest(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line (query), column (row) and distance of the k nearest rows of each query, ties to the smaller id."""
+    if metric == "l2":  # matrix products cancel: what may be among the k, within their error, is computed from differences
+        sq = D.matrix_distance("l2_sq", queries, rows)
+        error = 8 * (rows.shape[1] + 4) * np.finfo(float).eps * ((queries**2).sum(1)[:, None] + (rows**2).sum(1)[None])
+        far, n = np.full(sq.shape, np.inf), min(k, sq.shape[1]) - 1
+        limit = np.sqrt(np.partition(sq + error, n, 1)[:, n : n + 1]) + 1e-9
+        line, column = np.nonzero(np.sqrt(np.maximum(sq - error, 0)) <= limit)
+        for a in range(0, len(line), 1 << 16):
+            i, j = line[a : a + (1 << 16)], column[a : a + (1 << 16)]
+            far[i, j] = np.sqrt(((rows[j] - queries[i]) ** 2).sum(1))
+    else:
+        far = D.matrix_distance(metric, queries, rows)
+    far = np.round(far, 9) + 0.0
+    line, column = least(far, ids, k)
+    return line, column, far[line, column]
+
+
 def _block_search(query_ids: np.ndarray, queries: np.ndarray, k: int, metric: str):
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, rows = batch.column("id").to_numpy(), vectors_of(batch, dtype=queries.dtype)
-            if metric == "l2":  # matrix products cancel: what may be among the k, within their error, is computed from differences
-                sq = D.matrix_distance("l2_sq", queries, rows)
-                error = 8 * (rows.shape[1] + 4) * np.finfo(float).eps * ((queries**2).sum(1)[:, None] + (rows**2).sum(1)[None])
-                far, n = np.full(sq.shape, np.inf), min(k, sq.shape[1]) - 1
-                limit = np.sqrt(np.partition(sq + error, n, 1)[:, n : n + 1]) + 1e-9
-                line, column = np.nonzero(np.sqrt(np.maximum(sq - error, 0)) <= limit)
-                for a in range(0, len(line), 1 << 16):
-                    i, j = line[a : a + (1 << 16)], column[a : a + (1 << 16)]
-                    far[i, j] = np.sqrt(((rows[j] - queries[i]) ** 2).sum(1))
-            else:
-                far = D.matrix_distance(metric, queries, rows)
-            far = np.round(far, 9) + 0.0
-            line, column = least(far, ids, k)
-            yield pa.record_batch({"query_id": query_ids[line], "id": ids[column], "distance": far[line, column]})
+            if batch.num_rows:
+                ids = batch.column("id").to_numpy()
+                line, column, far = block_nearest(queries, vectors_of(batch, dtype=queries.dtype), ids, k, metric)
+                yield pa.record_batch({"query_id": query_ids[line], "id": ids[column], "distance": far})
 
     return run
 

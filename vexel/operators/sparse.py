@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import staged
 from .search import in_blocks, top
 
 TERMS = r"[ \n]+"
@@ -34,38 +35,65 @@ def normalised(postings: DataFrame, w: str = "w", key: str = "id") -> DataFrame:
     return postings.join(norms, key).withColumn(w, F.when(F.col("norm") > 1.1920929e-07, F.col(w) / F.col("norm")).otherwise(0.0)).drop("norm")
 
 
-def cosine_search(postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    return best(dot(normalised(postings), normalised(queries, "qw", "query_id")), k)
+def matched(postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, id, term, qw, w of shared terms; only these are joined with what is known of their documents."""
+    return in_blocks(queries, lambda q: postings.join(q, "term"), 200_000).select("query_id", "id", "term", "qw", "w")
 
 
-def with_length(postings: DataFrame) -> DataFrame:
-    """Postings with dl, the sum of their document's absolute weights, and the mean of it."""
-    lengths = postings.groupBy("id").agg(F.sum(F.abs("w")).alias("dl"))
-    mean = lengths.agg(F.avg("dl")).first()[0] or 1.0
-    return postings.join(lengths, "id").withColumn("avgdl", F.lit(mean))
+def summed(scored: DataFrame, weight: Column) -> DataFrame:
+    return scored.groupBy("query_id", "id").agg(F.round(F.sum(F.col("qw") * weight), 6).alias("score"))
+
+
+def cosine(postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, id, score: the dot of what is divided by its document's norm, on both sides."""
+    postings = staged(postings.sparkSession, postings, "postings")
+    norms = postings.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    each = matched(postings, normalised(queries, "qw", "query_id")).join(norms, "id")
+    return summed(each, F.when(F.col("norm") > 1.1920929e-07, F.col("w") / F.col("norm")).otherwise(0.0))
+
+
+def cosine_search(postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    return best(cosine(postings, queries), k)
 
 
 def bm25_search(postings: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """With idf = ln((N - df + 0.5) / (df + 0.5) + 1) and the corpus' mean length."""
-    n = postings.select("id").distinct().count()
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = queries.join(df, "term").withColumn("qw", F.col("qw") * F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).select("query_id", "term", "qw")
-    tf = F.col("w") * (k1 + 1) / (F.col("w") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return best(dot(with_length(postings), idf, tf), k)
+    """With idf = ln((N - df + 0.5) / (df + 0.5) + 1) and the corpus' mean length. Postings are made once; lengths are joined with
+    the postings of query terms only."""
+    postings = staged(postings.sparkSession, postings, "postings")
+    lengths = postings.groupBy("id").agg(F.sum(F.abs("w")).alias("dl"))
+    n, mean = lengths.agg(F.count("*"), F.avg("dl")).first()
+    each = matched(postings, queries)
+    df = in_blocks(queries.select(F.col("term").alias("query_id")).distinct(), lambda q: postings.join(q.withColumnRenamed("query_id", "term"), "term"), 200_000)
+    idf = df.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    each = each.join(idf, "term").withColumn("qw", F.col("qw") * F.col("idf"))
+    tf = F.col("w") * (k1 + 1) / (F.col("w") + k1 * (1 - b + b * F.col("dl") / F.lit(mean or 1.0)))
+    return best(summed(each.join(lengths, "id"), tf), k)
 
 
 def bm25_fixed(postings: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, mean: float = 100.0) -> DataFrame:
     """The other dialect: no idf, a fixed mean length, and signed document lengths."""
+    postings = staged(postings.sparkSession, postings, "postings")
     lengths = postings.groupBy("id").agg(F.sum("w").alias("dl"))
     tf = F.col("w") * (k1 + 1) / (F.col("w") + k1 * (1 - b + b * F.col("dl") / mean))
-    return best(dot(postings.join(lengths, "id"), queries, tf), k)
+    return best(summed(matched(postings, queries).join(lengths, "id"), tf), k)
 
 
 def filled(scored: DataFrame, ids: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Positive scores first, then documents without a shared term in order of id, then negative ones, to k a query."""
-    every = ids.select("id").distinct().crossJoin(F.broadcast(queries.select("query_id").distinct()))
-    all_scores = every.join(scored, ["query_id", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return top(all_scores.withColumn("distance", -F.col("score")), k).select("query_id", "rank", "id", "score")
+    """Positive scores first, then documents without a shared term in order of id, then negative ones, to k a query.
+
+    Only queries with fewer than k positive scores need others. The k least ids that such a query hasn't scored are among
+    as many least ids of all as k and its scores together.
+    """
+    scored = staged(scored.sparkSession, scored, "scored")
+    asked = queries.select("query_id").distinct()
+    counts = scored.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("good"), F.count("*").alias("n"))
+    short = asked.join(counts, "query_id", "left").where(F.coalesce("good", F.lit(0)) < k)
+    most = short.agg(F.max("n")).first()[0] or 0
+    first = ids.select("id").distinct().orderBy("id").limit(k + most)
+    spare = in_blocks(short.select("query_id"), first.crossJoin).join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    known = top(scored.withColumn("distance", -F.col("score")), k).select("query_id", "id", "score")
+    others = top(spare.withColumn("distance", F.lit(0.0)), k).select("query_id", "id", F.lit(0.0).alias("score"))
+    return top(known.unionByName(others).withColumn("distance", -F.col("score")), k).select("query_id", "rank", "id", "score")
 
 
 def drop_terms(queries: DataFrame, ratio: float) -> DataFrame:
@@ -78,6 +106,7 @@ def drop_terms(queries: DataFrame, ratio: float) -> DataFrame:
 
 def tfidf(postings: DataFrame) -> DataFrame:
     """w times ln((n + 1) / (df + 1)) + 1."""
+    postings = staged(postings.sparkSession, postings, "postings")
     n = postings.select("id").distinct().count()
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     return postings.join(df, "term").select("id", "term", F.round(F.col("w") * (F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1), 6).alias("w"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distances as D
 from ..operators import lsh, multivector, search, sparse
+from ..sources.scratch import staged
 from .inputs import POSTINGS, V, fold, ranked, rounded, sql_distance, text_queries, vectors, words
 
 QUERIES: dict = {}
@@ -46,8 +47,7 @@ _NORMS = "n AS (SELECT id, term, w / norm AS w FROM p JOIN (SELECT id, sqrt(sum(
 
 @query("sparse_cosine", _DOT.replace(", s AS", f", {_NORMS}, s AS").format(w="w", p="n", q="nq") + " SELECT * FROM s WHERE score > 0")
 def sparse_cosine(spark, sf):
-    postings, asked = _sides(spark, sf)
-    return sparse.dot(sparse.normalised(postings), sparse.normalised(asked, "qw", "query_id")).where("score > 0")
+    return sparse.cosine(*_sides(spark, sf)).where("score > 0")
 
 
 @query("sparse_cosine_knn", _DOT.replace(", s AS", f", {_NORMS}, s AS").format(w="w", p="n", q="nq") + " " + _BEST)
@@ -72,6 +72,7 @@ def sparse_bm25_v2(spark, sf):
 @query("sparse_ip_filled", _DOT.format(w="w", p="p", q="q") + f", e AS (SELECT query_id, id, coalesce(score, 0) AS score FROM (SELECT DISTINCT query_id FROM q) CROSS JOIN (SELECT DISTINCT id FROM p) LEFT JOIN s USING (query_id, id)) " + ranked("e", 50, "query_id, rank, id, score", "score DESC, id"))
 def sparse_ip_filled(spark, sf):
     postings, asked = _sides(spark, sf)
+    postings = staged(spark, postings, "postings")
     return sparse.filled(sparse.dot(postings, asked), postings, asked, 50)
 
 
@@ -103,7 +104,7 @@ _JAC = "1 - list_sum(list_transform(list_zip(x.sig, y.sig), lambda z: CASE WHEN
 
 def _sigs(spark, sf) -> DataFrame:
     items = words(spark, sf).select("id", F.explode(F.array_distinct(F.split(F.lower("text"), sparse.TERMS))).alias("item")).where("item <> ''")
-    return lsh.signatures(items)
+    return staged(spark, lsh.signatures(items), "signatures")
 
 
 @query("lsh_band_keys", f"WITH {_SIGS}, {_BANDS} SELECT * FROM b")
