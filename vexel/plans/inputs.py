@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import spread
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,7 +29,7 @@ def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
