@@ -5,13 +5,11 @@ Every operator reads only the columns it names, so extra columns of the input ne
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch as scratch, staged as staged
+
 #: A key holding at least 1/HOT_SHARE of all rows is hot, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
 #: Stands for a null doc_id where an order is needed: a null is smaller than any number.
@@ -22,33 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only local mode, where there is one machine, may leave it unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    master = spark.sparkContext.master
-    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return (base or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, with the scheme of the file system that Spark takes it to be on; Hadoop's file system
-    deletes it when the driver ends."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/vexel-{name}-{uuid.uuid4().hex}")
-    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    hadoop = system.makeQualified(hadoop)
-    system.deleteOnExit(hadoop)
-    path = hadoop.toString()
-    return f"file://{path[5:]}" if path.startswith("file:/") and not path.startswith("file://") else path
-
-
-def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends here, and a lost executor loses nothing."""
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"].cast("string"), F.lit(""))
 

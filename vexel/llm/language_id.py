@@ -157,6 +157,8 @@ def fit(docs: DataFrame) -> LanguageFilter:
         for part, grams, _, _ in gram_batches(batches):
             names = np.array(part.column("lang").to_pylist())
             found = list(grams)
+            if not found:  # nothing but empty texts
+                continue
             h, of = np.concatenate([x for x, _ in found]), names[np.concatenate([x for _, x in found])]
             for lang in np.unique(of).tolist():
                 each, n = np.unique(h[of == lang], return_counts=True)
