@@ -47,7 +47,7 @@ def test_against_sql(spark, duck, name):
 
 #: Approximate searches with an exact rerank, and walks: their recall on 2,000 vectors is gated. What isn't here has its results
 #: fixed by SQL, whatever their recall.
-SCORED = sorted(n for n in catalog.QUERIES if n.endswith("_two_stage") or n.startswith(("refine_", "ivf_opq", "ivf_usq", "ivf_turbo")) or n in ("graph_beam_knn", "ivf_flat_knn", "ivf_pq_knn", "ivf_sq8_knn", "sq8_knn"))
+SCORED = sorted(n for n in catalog.QUERIES if n.endswith("_two_stage") or n.startswith(("refine_", "ivf_opq", "ivf_usq", "ivf_turbo")) or n in ("graph_beam_knn", "graph_sq_knn", "graph_pq_knn", "graph_prq_knn", "graph_hvq_knn", "graph_pca_usq_knn", "ivf_flat_knn", "ivf_pq_knn", "ivf_sq8_knn", "sq8_knn"))
 LARGER = "/root/testdata/sf0.1"
 
 
@@ -81,16 +81,24 @@ def table(spark):
     return np.array([r["id"] for r in rows]), np.array([r["vec"] for r in rows])
 
 
+def test_recall_of_a_binary_walk(spark):
+    """Ties are many, so what counts is how near the hits are."""
+    worst = {r["query_id"]: r["distance"] for r in catalog.QUERIES["bin_flat_knn"](spark, LARGER).where("rank = 10").collect()}
+    found = catalog.QUERIES["graph_binary_knn"](spark, LARGER).collect()
+    assert sum(r["distance"] <= worst[r["query_id"]] for r in found) >= 0.9 * 10 * len(worst)
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
 @pytest.mark.parametrize("kind", ["fp16", "bf16"])
-def test_half_precision(spark, table, kind):
+def test_half_precision(spark, table, kind, metric):
     ids, vec = table
     if kind == "fp16":
         low = vec.astype(np.float32).astype(np.float16).astype(float)
     else:
         low = np.array([struct.unpack("f", struct.pack("I", (u + 0x7FFF + (u >> 16 & 1)) & 0xFFFF0000))[0] for u in vec.astype(np.float32).view(np.uint32).ravel().tolist()]).reshape(vec.shape)
-    got = {(r["query_id"], r["rank"]): (r["id"], r["distance"]) for r in catalog.QUERIES[f"dist_l2_{kind}"](spark, SF).collect()}
+    got = {(r["query_id"], r["rank"]): (r["id"], r["distance"]) for r in catalog.QUERIES[f"dist_{metric}_{kind}"](spark, SF).collect()}
     for q in ids[ids % 100 == 0]:
-        far = np.round(np.sqrt(((low - vec[ids == q]) ** 2).sum(1)), 9)
+        far = np.round(np.sqrt(((low - vec[ids == q]) ** 2).sum(1)) if metric == "l2" else -(low @ vec[ids == q][0]), 9)
         for rank, i in enumerate(np.lexsort((ids, far))[:10], 1):
             assert got[q, rank][0] == ids[i] and abs(got[q, rank][1] - far[i]) < 1e-8
 

@@ -296,6 +296,28 @@ def test_other_indexes(spark):
     assert [r["id"] for r in api.MultiVectorIndex(tokens).search(query, 2).orderBy("rank").collect()] == [1, 2]
 
 
+def test_stored_sets(spark, tmp_path):
+    sets = spark.createDataFrame([(i, f"x{j}") for i in range(4) for j in range(20 + i)], "id long, item string")
+    index = api.MinHashIndex(size=32, rows=2).add(sets.where("id < 2")).add(sets.where("id >= 2"))
+    index.save(str(tmp_path / "m"))
+    again = api.MinHashIndex.load(spark, str(tmp_path / "m"))
+    assert (again.size, again.rows, again.count) == (32, 2, 4) and again.get(sets.where("id = 3")).count() == 1
+    assert same(index.search(sets.where("id = 0"), 3), again.search(sets.where("id = 0"), 3))
+
+
+def test_impatient_walk():
+    vec = np.array([(x, y) for x in range(30) for y in range(30)], float)
+    near = [np.flatnonzero(np.abs(vec - v).sum(1) == 1) for v in vec]
+    steps = graph.beam(vec, near, np.array([15.0, 15.0]), 400, 4, start=(15 * 30 + 14,), patience=3)
+    assert steps[0] == (0.0, 15 * 30 + 15) and len(steps) == 4
+
+
+def test_paired_projections():
+    rows, asked = ROWS, ROWS[:50] + 1.0
+    of_rows, of_asked = quantize.fit_pair(rows, asked, 8)
+    assert np.allclose(of_rows.project(rows).mean(0), 0) and np.allclose(of_asked.project(asked).mean(0), 0) and of_asked.axes.shape == (8, 32)
+
+
 def test_registry(spark):
     registry = api.Registry(spark)
     registry.create("a", IndexConfig("flat", 2, Metric.parse("Euclidean")))
@@ -303,7 +325,10 @@ def test_registry(spark):
         registry.create("a", IndexConfig("flat", 2))
     with pytest.raises(ValueError):
         IndexConfig("bin_flat", 8, "l2")
+    words = registry.create("w", IndexConfig("sparse_wand", 8, "ip", "sparse_float")).add(spark.createDataFrame([(1, "a", 1.0)], "id long, term string, w double"))
+    assert words.search(spark.createDataFrame([(0, "a", 2.0)], "query_id long, term string, qw double"), 3).first()["score"] == 2.0
     registry.drop("a")
+    registry.drop("w")
     assert registry.names() == []
 
 

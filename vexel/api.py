@@ -186,11 +186,18 @@ class VectorIndex:
 class SparseIndex:
     """Postings (id, term, w) under inner product, cosine or one of two BM25 dialects."""
 
-    def __init__(self, postings: DataFrame, metric: str = "ip", drop_ratio: float = 0.0):
+    def __init__(self, postings: DataFrame | None = None, metric: str = "ip", drop_ratio: float = 0.0):
         if metric not in ("ip", "cosine", "bm25", "bm25_fixed"):
             raise ValueError(metric)
         self.postings, self.metric, self.drop_ratio = postings, metric, drop_ratio
 
+    def add(self, postings: DataFrame) -> SparseIndex:
+        self.postings = postings if self.postings is None else self.postings.unionByName(postings)
+        return self
+
+    def save(self, path: str) -> None:
+        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
+
     def search(self, queries: DataFrame, k: int, excluded: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
         """query_id, rank, id, score. queries: (query_id, term, qw). Only positive scores; statistics are of all rows."""
         kept = queries if not self.drop_ratio else sparse.drop_terms(queries, self.drop_ratio)
@@ -210,9 +217,35 @@ class SparseIndex:
 class MinHashIndex:
     """Sets of items as signatures, found by equal bands and ranked by signature distance."""
 
-    def __init__(self, items: DataFrame, size: int = 16, rows: int = 4):
+    def __init__(self, items: DataFrame | None = None, size: int = 16, rows: int = 4):
         self.size, self.rows = size, rows
-        self.sigs = lsh.signatures(items, size)
+        self.sigs = None if items is None else lsh.signatures(items, size)
+
+    def add(self, items: DataFrame) -> MinHashIndex:
+        """items: (id, item) of sets that aren't there yet."""
+        sigs = lsh.signatures(items, self.size)
+        self.sigs = sigs if self.sigs is None else self.sigs.unionByName(sigs)
+        return self
+
+    @property
+    def count(self) -> int:
+        return 0 if self.sigs is None else self.sigs.count()
+
+    def get(self, ids: DataFrame) -> DataFrame:
+        """id and sig of the requested ids that there are."""
+        return self.sigs.join(ids.select("id").distinct(), "id", "left_semi")
+
+    def save(self, path: str) -> None:
+        """Signatures in a folder that tells their size and the rows of a band."""
+        self.sigs.write.mode("overwrite").parquet(f"{path}/size={self.size}/rows={self.rows}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> MinHashIndex:
+        stored = spark.read.parquet(path)
+        told = stored.select("size", "rows").first()
+        index = cls(size=told["size"], rows=told["rows"])
+        index.sigs = stored.select("id", "sig")
+        return index
 
     def search(self, items: DataFrame, k: int) -> DataFrame:
         """items: (id, item) of the queries; their id becomes query_id."""
@@ -235,7 +268,7 @@ class MultiVectorIndex:
 
 
 class Registry:
-    """Named indexes."""
+    """Named indexes, of vectors, postings or sets as their kind says."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.indexes = spark, {}
@@ -243,10 +276,15 @@ class Registry:
     def create(self, name: str, config: IndexConfig) -> VectorIndex:
         if name in self.indexes:
             raise ValueError(f"index {name!r} exists")
-        self.indexes[name] = VectorIndex(self.spark, config)
+        if config.kind.startswith("sparse"):
+            self.indexes[name] = SparseIndex(metric=config.extra.get("metric", "ip"), drop_ratio=config.extra.get("drop_ratio", 0.0))
+        elif config.kind == "minhash_lsh":
+            self.indexes[name] = MinHashIndex(size=config.extra.get("size", 16), rows=config.extra.get("rows", 4))
+        else:
+            self.indexes[name] = VectorIndex(self.spark, config)
         return self.indexes[name]
 
-    def get(self, name: str) -> VectorIndex:
+    def get(self, name: str):
         return self.indexes[name]
 
     def drop(self, name: str) -> None:

@@ -83,6 +83,11 @@ def to_sparse(vector: Name, threshold: float) -> Column:
     return F.expr(f"filter(transform({vector}, (x, i) -> struct(i AS term, x AS w)), e -> abs(e.w) > {threshold!r}D)")
 
 
+def to_dense(sparse: Name, dim: int) -> Column:
+    """A vector of `dim` values from (term, w); terms it doesn't have are 0, terms beyond it are left out."""
+    return F.expr(f"transform(sequence(0, {dim - 1}), i -> coalesce(get(filter({sparse}, e -> e.term = i), 0).w, 0D))")
+
+
 def minhash_distance(a: Name, b: Name) -> Column:
     """1 - the share of equal signature elements; 1 if the lengths differ or are zero."""
     same = f"aggregate(zip_with({a}, {b}, (x, y) -> IF(x <=> y, 1L, 0L)), 0L, (s, x) -> s + x)"

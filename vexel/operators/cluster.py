@@ -150,6 +150,16 @@ def pruned_range(lists: DataFrame, queries: DataFrame, reaches: DataFrame, radiu
     return in_blocks(queries, run)
 
 
+def ivf_range_probed(lists: DataFrame, queries: DataFrame, centroids: DataFrame, radius: float, nprobe: int, metric: str = "l2") -> DataFrame:
+    """All rows within the radius in the lists that each query visits."""
+
+    def run(part: DataFrame) -> DataFrame:
+        scored = lists.join(F.broadcast(probes(part, centroids, nprobe, metric)), "list").select("query_id", "id", rounded(D.distance(metric, "vec", "q")).alias("distance"))
+        return scored.where(F.col("distance") <= radius)
+
+    return in_blocks(queries, run)
+
+
 def ivf_range(lists: DataFrame, queries: DataFrame, radius: float, score) -> DataFrame:
     """All rows of all lists within the radius, by an approximate score."""
     return pairs(lists, queries).select("query_id", "id", rounded(score).alias("distance")).where(F.col("distance") <= radius)

@@ -60,6 +60,9 @@ def upsert(rows: DataFrame, changes: DataFrame) -> DataFrame:
     return all_rows.withColumn("_n", F.row_number().over(last)).where((F.col("_n") == 1) & ~F.col("deleted")).select(*cols)
 
 
+#: Ids of a range in which the next set id is looked for by one task.
+NEXT = 1_000_000
+
 # sets of ids: present means excluded
 
 
@@ -77,6 +80,31 @@ def difference_both(a: DataFrame, b: DataFrame) -> DataFrame:
     return each.groupBy("id").agg(F.sum("s").alias("s")).where("s < 3").select("id")
 
 
+def flipped(ids: DataFrame, universe: DataFrame) -> DataFrame:
+    """The ids of the universe that aren't set."""
+    return universe.select("id").distinct().join(ids.select("id").distinct(), "id", "left_anti")
+
+
+def remapped(positions: DataFrame, mapping: DataFrame, offset: int = 0) -> DataFrame:
+    """Ids of set positions, by a table (pos, id), after a shift; positions that it doesn't have are absent."""
+    moved = positions.select((F.col("id") + offset).alias("pos")).distinct()
+    return moved.join(mapping.select("pos", "id"), "pos").select("id")
+
+
+def next_set(ids: DataFrame, universe: DataFrame) -> DataFrame:
+    """id, next: for each id of the universe the least set id from there on, found in ranges of about NEXT ids and across
+    them by what each range begins with."""
+    low, high = universe.agg(F.min("id"), F.max("id")).first()
+    both = universe.select("id").distinct().join(ids.select("id").distinct().withColumn("on", F.col("id")), "id", "left")
+    if low is None:
+        return both.select("id", F.col("on").alias("next"))
+    both = both.withColumn("range", F.floor((F.col("id") - low) / NEXT))
+    first = both.groupBy("range").agg(F.min("on").alias("first"))  # a row a range
+    after = first.withColumn("later", F.min("first").over(Window.orderBy("range").rowsBetween(1, Window.unboundedFollowing))).select("range", "later")
+    within = F.min("on").over(Window.partitionBy("range").orderBy("id").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return both.withColumn("here", within).join(after, "range").select("id", F.coalesce("here", "later").alias("next"))
+
+
 def summary(ids: DataFrame, rows: DataFrame) -> DataFrame:
     """How many ids are set, the first and last of them, the first that isn't, and the share of rows they exclude."""
     both = rows.select("id").distinct().join(ids.select("id").distinct().withColumn("on", F.lit(True)), "id", "left")

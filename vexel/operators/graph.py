@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distances as D
+from ..sources.scratch import staged
 from .quantize import visits_of
 from .search import BITS, block_nearest, query_blocks, rounded, top
 
@@ -128,6 +129,27 @@ def consolidate(edges: DataFrame, deleted: DataFrame) -> DataFrame:
     return live.union(lost.join(ahead, "mid").where("src <> dst").select("src", "dst")).distinct()
 
 
+def reachable(edges: DataFrame, start: DataFrame, rounds: int = 1000) -> DataFrame:
+    """The ids that edges lead to from `start`, itself included: breadth first, a join with the frontier each round."""
+    spark = edges.sparkSession
+    edges = staged(spark, edges.select("src", "dst").distinct(), "edges")
+    seen = edge = staged(spark, start.select("id").distinct(), "start")
+    for _ in range(rounds):
+        new = edges.join(edge.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        edge = staged(spark, new, "frontier")
+        if not edge.limit(1).count():
+            break
+        seen = staged(spark, seen.union(edge), "seen")
+    return seen
+
+
+def repaired(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """src, dst, dist with, for each node to which no edge leads, an edge from the nearest of its own neighbours."""
+    lost = unreachable(edges, nodes)
+    back = edges.where("rank = 1").join(lost.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")
+    return edges.select("src", "dst", "dist").union(back).distinct()
+
+
 def degree_stats(edges: DataFrame) -> DataFrame:
     out = edges.groupBy("src").agg(F.count("*").alias("n"))
     return out.agg(F.count("*").alias("nodes"), F.sum("n").alias("edges"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"))
@@ -138,16 +160,23 @@ def unreachable(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
 
 
-def beam(vec: np.ndarray, near: list[np.ndarray], query: np.ndarray, width: int, k: int, metric: str = "l2", start: tuple[int, ...] = (0,), live: np.ndarray | None = None) -> list[tuple[float, int]]:
+def beam(vec: np.ndarray, near: list[np.ndarray], query: np.ndarray, width: int, k: int, metric: str = "l2", start: tuple[int, ...] = (0,), live: np.ndarray | None = None, patience: int | None = None) -> list[tuple[float, int]]:
     """Best-first walk of one small graph from some rows: (distance, row) of the k best of a beam of `width`. Rows that aren't
-    live lead on, but have no place in the beam."""
+    live lead on, but have no place in the beam. With patience, a walk also ends when its k have been full for so many steps
+    and their sum of distances has fallen by no more than a fiftieth in them."""
     first = D.matrix_distance(metric, query[None], vec[list(start)])[0].tolist()
     seen, open_, best = {*start}, sorted(zip(first, start)), [(-d, x) for d, x in zip(first, start) if live is None or live[x]]
     heapq.heapify(best)
+    idle, was = 0, np.inf
     while open_:
         far, at = heapq.heappop(open_)
         if len(best) >= width and far > -best[0][0]:
             break
+        if patience is not None and len(best) >= k:
+            now = sum(heapq.nsmallest(k, (-d for d, _ in best)))
+            idle, was = (idle + 1, was) if now >= was - abs(was) / 50 else (0, now)
+            if idle >= patience:
+                break
         new = [x for x in near[at] if x not in seen]
         seen.update(new)
         if new:

@@ -402,6 +402,21 @@ def encoded(base: DataFrame, model, keep: tuple[str, ...] = ("id",), centroids:
     return base.select(*read).mapInArrow(run, schema)
 
 
+def decoded(codes: DataFrame, model) -> DataFrame:
+    """codes (…, code) with vec, what the code gives back, in place of it."""
+    keep = [c for c in codes.columns if c != "code"]
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                back = np.ascontiguousarray(model.decode(codes_of(batch)), np.float64)
+                vec = pa.ListArray.from_arrays(pa.array(np.arange(len(back) + 1, dtype=np.int32) * back.shape[1]), pa.array(back.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), vec], names=[*keep, "vec"])
+
+    schema = T.StructType([*(codes.schema[c] for c in keep), T.StructField("vec", T.ArrayType(T.DoubleType()))])
+    return codes.select(*keep, "code").mapInArrow(run, schema)
+
+
 def codes_of(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
 

@@ -104,6 +104,15 @@ def drop_terms(queries: DataFrame, ratio: float) -> DataFrame:
     return kept.where(F.col("_r") <= F.ceil(F.col("_n") * (1 - min(max(ratio, 0.0), 0.95)))).drop("_r", "_n")
 
 
+def drop_small(queries: DataFrame, ratio: float) -> DataFrame:
+    """The terms whose absolute weight is at least the one at place floor(n * ratio) of all n in ascending order; ties stay."""
+    each = Window.partitionBy("query_id")
+    size = F.abs("qw")
+    placed = queries.withColumn("_r", F.row_number().over(each.orderBy(size, "term"))).withColumn("_n", F.count("*").over(each))
+    least = F.max(F.when(F.col("_r") == F.floor(F.col("_n") * min(max(ratio, 0.0), 0.95)) + 1, size)).over(each)
+    return placed.withColumn("_l", least).where(size >= F.col("_l")).drop("_r", "_n", "_l")
+
+
 def tfidf(postings: DataFrame) -> DataFrame:
     """w times ln((n + 1) / (df + 1)) + 1."""
     postings = staged(postings.sparkSession, postings, "postings")

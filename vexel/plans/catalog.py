@@ -74,17 +74,41 @@ def pairwise_matrix(spark, sf):
     return each.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["d"]).alias("line"))
 
 
-def _half(kind: str):
+def _half(kind: str, metric: str = "l2"):
     def run(spark, sf):
         from ..operators.quantize import Half, code_search, encoded
 
         base, model = vectors(spark, sf), Half(kind)
-        return code_search(encoded(base, model), queries(base), model, K)
+        return code_search(encoded(base, model), queries(base), model, K, metric)
 
     return run
 
 
 QUERIES["dist_l2_fp16"], QUERIES["dist_l2_bf16"] = _half("float16"), _half("bfloat16")
+QUERIES["dist_ip_fp16"], QUERIES["dist_ip_bf16"] = _half("float16", "ip"), _half("bfloat16", "ip")
+
+
+@query("sparse_to_dense", f"WITH {V} SELECT id, list_transform(vec, lambda x: CASE WHEN abs(x) > 0.5 THEN x ELSE 0.0 END) AS vec FROM v")
+def sparse_to_dense(spark, sf):
+    return vectors(spark, sf).withColumn("s", D.to_sparse("vec", 0.5)).select("id", D.to_dense("s", 64).alias("vec"))
+
+
+@query("bitset_flip", f"WITH {V} SELECT id FROM v WHERE id % 3 <> 0")
+def bitset_flip(spark, sf):
+    base = vectors(spark, sf)
+    return filters.flipped(base.where("id % 3 = 0"), base)
+
+
+@query("bitset_remap", f"WITH {V}, m AS (SELECT id AS pos, id * 7 + 1 AS id FROM v) SELECT m.id FROM m JOIN v ON m.pos = v.id + 5 WHERE v.id % 3 = 0")
+def bitset_remap(spark, sf):
+    base = vectors(spark, sf)
+    return filters.remapped(base.where("id % 3 = 0"), base.select(F.col("id").alias("pos"), (F.col("id") * 7 + 1).alias("id")), 5)
+
+
+@query("bitset_next", f"WITH {V}, n AS (SELECT id, min(CASE WHEN id % 7 = 3 THEN id END) OVER (ORDER BY id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next FROM v) SELECT id, next FROM n WHERE next IS NOT NULL")
+def bitset_next(spark, sf):
+    base = vectors(spark, sf)
+    return filters.next_set(base.where("id % 7 = 3"), base).where("next IS NOT NULL")
 
 
 @query("dist_by_ids", f"WITH {V}, w AS (SELECT id AS a, id + 1 AS b FROM v) SELECT a, b, {rounded(sql_distance('l2', 'x.vec', 'y.vec'))} AS distance FROM w JOIN v x ON x.id = a JOIN v y ON y.id = b")

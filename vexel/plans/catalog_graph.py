@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import cluster, graph, search
+from ..functions import distances as D
+from ..operators import cluster, graph, quantize, search
 from .catalog_models import C, centroids
 from .inputs import V, queries, ranked, rounded, sql_distance, vectors
 
@@ -82,6 +84,46 @@ def graph_unreachable(spark, sf):
     return graph.unreachable(edges, base)
 
 
+@query("graph_reachable", f"{GRAPH.replace('WITH ', 'WITH RECURSIVE ', 1)}, r AS (SELECT min(id) AS id FROM v UNION SELECT dst FROM e JOIN r ON src = r.id) SELECT id FROM r")
+def graph_reachable(spark, sf):
+    base, edges = _graph(spark, sf)
+    return graph.reachable(edges, base.agg(F.min("id").alias("id")))
+
+
+@query("graph_repair", f"{GRAPH}, u AS (SELECT id FROM v WHERE id NOT IN (SELECT dst FROM e)) SELECT src, dst, dist FROM e UNION SELECT dst, src, dist FROM e WHERE rank = 1 AND src IN (SELECT id FROM u)")
+def graph_repair(spark, sf):
+    base, edges = _graph(spark, sf)
+    return graph.repaired(edges, base)
+
+
+def _over_codes(fit):
+    """A graph of what codes give back, walked for a pool that is reranked exactly."""
+
+    def run(spark, sf):
+        base = vectors(spark, sf).select("id", "vec")
+        rows = cluster.sampled(base)
+        model, lists = fit(rows), cluster.kmeans(rows, max(4, graph.cells_for(base.count())))
+        coded = quantize.decoded(quantize.encoded(base, model), model)
+        stored = graph.build(cluster.assign_blocks(coded, lists).select("list", "id", "vec"), 24)
+        return search.rerank(graph.walk(stored, queries(base), 4 * K, 160, centroids=lists, nprobe=8), base, queries(base), K)
+
+    return run
+
+
+QUERIES |= {
+    "graph_sq_knn": _over_codes(quantize.Scalar.fit), "graph_pq_knn": _over_codes(lambda r: quantize.Product.fit(r, 32, 6)), "graph_prq_knn": _over_codes(lambda r: quantize.Split.fit(r, 32, 2, 6)),
+    "graph_hvq_knn": _over_codes(quantize.Affine.fit), "graph_pca_usq_knn": _over_codes(lambda r: quantize.Principal.fit(r, 56, lambda x: quantize.Uniform.fit(x, 8))),
+}
+
+
+@query("graph_binary_knn")
+def graph_binary_knn(spark, sf):
+    base = vectors(spark, sf).select("id", D.sign_bits("vec").alias("vec"))
+    lists = cluster.bit_kmeans(cluster.sampled(base, dtype=np.int64), max(4, graph.cells_for(base.count())))
+    stored = graph.build(cluster.assign_blocks(base, lists, "hamming").select("list", "id", "vec"), 24, "hamming")
+    return graph.walk(stored, queries(base), K, 160, "hamming", lists, 8)
+
+
 @query("robust_prune")
 def robust_prune(spark, sf):
     base, edges = _graph(spark, sf)

@@ -154,6 +154,12 @@ def range_ivf_sq8(spark, sf):
     return cluster.ivf_range(_ivf_sq8(base), queries(base), 4.0, D.l2("vec", "q")).where("distance >= 2.0")
 
 
+@query("range_ivf_probed", f"{IVF}, s AS (SELECT query_id, id, {rounded(sql_distance('l2', 'vec', 'q'))} AS distance FROM a JOIN b USING (list)) SELECT * FROM s WHERE distance <= 4.0")
+def range_ivf_probed(spark, sf):
+    base = vectors(spark, sf)
+    return cluster.ivf_range_probed(cluster.assign(base, centroids(base)).drop("distance"), queries(base), centroids(base), 4.0, NPROBE)
+
+
 # product quantization
 
 _PQ = f"""k AS (SELECT CAST(s AS INT) AS sub, CAST(id // 31 AS INT) AS code, vec[s * {W} + 1 : s * {W} + {W}] AS c FROM v, range(0, {M}) t(s) WHERE id % 31 = 0 AND id < 496),

@@ -81,6 +81,11 @@ def sparse_drop_ratio(spark, sf):
     return sparse.drop_terms(_sides(spark, sf)[1], 0.3)
 
 
+@query("sparse_drop_ratio_v2", f"WITH {POSTINGS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY abs(qw), term) AS r, count(*) OVER (PARTITION BY query_id) AS n FROM q), l AS (SELECT query_id, abs(qw) AS least FROM r WHERE r = floor(n * 0.6) + 1) SELECT query_id, term, qw FROM q JOIN l USING (query_id) WHERE abs(qw) >= least")
+def sparse_drop_ratio_v2(spark, sf):
+    return sparse.drop_small(_sides(spark, sf)[1], 0.6)
+
+
 @query("tfidf_encode", f"WITH {POSTINGS}, f AS (SELECT term, count(*) AS df FROM p GROUP BY term), n AS (SELECT count(DISTINCT id) AS n FROM p) SELECT id, term, round(w * (ln((n + 1.0) / (df + 1)) + 1), 6) AS w FROM p JOIN f USING (term), n")
 def tfidf_encode(spark, sf):
     return sparse.tfidf(_sides(spark, sf)[0])
