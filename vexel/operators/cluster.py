@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import distances as D
-from .search import in_blocks, pairs, rounded, top, vectors_of
+from .search import BITS, block_nearest, in_blocks, pairs, rounded, top, vectors_of
 
 #: Rows that a model is fitted on, at most (about). Every row is then assigned and encoded.
 SAMPLE = 50_000
@@ -27,14 +27,20 @@ def sampled(base: DataFrame, limit: int = SAMPLE, dtype=np.float64) -> np.ndarra
 
 
 def assign(base: DataFrame, centroids: DataFrame, metric: str = "l2", probes: int = 1) -> DataFrame:
-    """id, vec, list and distance of the nearest `probes` centroids (list, c); ties go to the lower list."""
-    far = rounded(D.distance(metric, "vec", "c"))
-    near = base.crossJoin(F.broadcast(centroids)).select("id", F.col("list"), far.alias("distance"))
-    if probes == 1:
-        best = near.groupBy("id").agg(F.min(F.struct("distance", "list")).alias("b")).select("id", "b.list", "b.distance")
-    else:
-        best = top(near, probes, per="id", tie="list").select("id", "list", "distance")
-    return base.select("id", "vec").join(best, "id")
+    """id, vec, list and distance of the nearest `probes` centroids (list, c); ties go to the lower list. Centroids are
+    collected, a row a list; rows stay where they lie."""
+    known = sorted(centroids.select("list", "c").collect())
+    lists, dtype = np.array([r["list"] for r in known], np.int32), np.int64 if metric in BITS else np.float64
+    centres = np.array([r["c"] for r in known], dtype)
+    schema = T.StructType([base.schema["id"], base.schema["vec"], T.StructField("list", T.IntegerType()), T.StructField("distance", T.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows and len(lists):
+                line, column, far = block_nearest(vectors_of(batch, dtype=dtype), centres, lists, probes, metric)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(line)) for c in ("id", "vec")), pa.array(lists[column]), pa.array(far)], names=schema.names)
+
+    return base.select("id", "vec").mapInArrow(run, schema)
 
 
 def assign_blocks(base: DataFrame, centroids: np.ndarray, metric: str = "l2", column: str = "vec") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import distances as D
 from .cluster import kmeans
-from .search import least, over_blocks, query_blocks, rerank, top
+from .search import in_blocks, least, over_blocks, query_blocks, rerank, top, vectors_of
 
 # scalar quantization as columns: one range for all dimensions
 
@@ -52,18 +52,39 @@ def subvectors(base: DataFrame, m: int) -> DataFrame:
     return base.select("id", F.posexplode(F.expr(f"transform(sequence(0, {m - 1}), s -> slice(vec, s * {width} + 1, {width}))")).alias("sub", "sv"))
 
 
-def pq_encode(base: DataFrame, codebook: DataFrame, m: int) -> DataFrame:
-    """id and codes: of each sub-vector the nearest entry, the lower one of equal ones."""
-    scored = subvectors(base, m).join(F.broadcast(codebook), "sub").select("id", "sub", F.struct(F.round(D.l2_sq("sv", "c"), 9).alias("d"), "code").alias("e"))
-    each = scored.groupBy("id", "sub").agg(F.min("e").alias("e"))
-    return each.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sub", "e.code"))), lambda x: x["code"]).alias("codes"))
+def pq_encode(base: DataFrame, codebook: DataFrame, m: int, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Columns `keep` and codes: of each sub-vector the nearest entry, the lower one of equal ones. The codebook is collected;
+    rows are encoded where they lie."""
+    entries = sorted(codebook.select("sub", "code", "c").collect())
+    numbers = [np.array([r["code"] for r in entries if r["sub"] == s], np.int32) for s in range(m)]
+    books = [np.array([r["c"] for r in entries if r["sub"] == s], np.float64) for s in range(m)]
+    schema = T.StructType([*(base.schema[c] for c in keep), T.StructField("codes", T.ArrayType(T.IntegerType()))])
 
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows and entries:
+                parts = vectors_of(batch).reshape(batch.num_rows, m, -1)
+                far = (np.round(((parts[:, s, None] - b[None]) ** 2).sum(2), 9) for s, b in enumerate(books))
+                codes = np.stack([n[f.argmin(1)] for n, f in zip(numbers, far)], 1)
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32) * m), pa.array(codes.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), listed], names=schema.names)
+
+    return base.select(*dict.fromkeys([*keep, "vec"])).mapInArrow(run, schema)
+
+
+def pq_scores(codes: DataFrame, codebook: DataFrame, queries: DataFrame, m: int, visits: DataFrame | None = None) -> DataFrame:
+    """query_id, id, distance: a table of (sub, code) distances for each query, looked up by every code, summed in order; with
+    visits (query_id, list), only by the codes (list, ...) that a query visits."""
+    size = (codebook.agg(F.max("code")).first()[0] or 0) + 1
+
+    def run(part: DataFrame) -> DataFrame:
+        lut = subvectors(part.select(F.col("query_id").alias("id"), F.col("q").alias("vec")), m).join(F.broadcast(codebook), "sub")
+        lut = lut.groupBy(F.col("id").alias("query_id")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("sub") * size + F.col("code"), F.round(D.l2_sq("sv", "c"), 9)))).alias("of"))
+        lut = lut.select("query_id", F.expr(f"transform(sequence(0, {m * size - 1}), i -> element_at(of, i))").alias("lut"))
+        pairs = codes.crossJoin(F.broadcast(lut)) if visits is None else codes.join(F.broadcast(visits.join(lut, "query_id")), "list")
+        return pairs.select("query_id", "id", F.round(F.sqrt(F.expr(f"aggregate(transform(codes, (c, s) -> get(lut, s * {size} + c)), 0D, (a, x) -> a + x)")), 9).alias("distance"))
 
-def pq_scores(codes: DataFrame, codebook: DataFrame, queries: DataFrame, m: int) -> DataFrame:
-    """query_id, id, distance: a table of (sub, code) distances for each query, looked up by every code, summed in order."""
-    lut = subvectors(queries.select(F.col("query_id").alias("id"), F.col("q").alias("vec")), m).join(F.broadcast(codebook), "sub")
-    lut = lut.groupBy(F.col("id").alias("query_id")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("sub") * 65536 + F.col("code"), F.round(D.l2_sq("sv", "c"), 9)))).alias("lut"))
-    return codes.crossJoin(F.broadcast(lut)).select("query_id", "id", F.round(F.sqrt(F.expr("aggregate(transform(codes, (c, s) -> element_at(lut, s * 65536 + c)), 0D, (a, x) -> a + x)")), 9).alias("distance"))
+    return in_blocks(queries, run)
 
 
 def pq_search(codes: DataFrame, codebook: DataFrame, queries: DataFrame, k: int, m: int) -> DataFrame:

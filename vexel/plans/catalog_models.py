@@ -198,10 +198,9 @@ def scann_two_stage(spark, sf):
 @query("ivf_pq_knn", f"{IVF}, {_PQ}, {_ADC}, s AS (SELECT adc.query_id, adc.id, distance FROM (SELECT query_id, id, distance FROM adc) adc JOIN (SELECT id, list FROM a) l USING (id) JOIN (SELECT query_id, list FROM b) p ON p.query_id = adc.query_id AND p.list = l.list), t AS ({ranked('s', POOL)}), u AS (SELECT t.query_id, t.id, {rounded(sql_distance('l2', 'vec', 'q'))} AS distance FROM t JOIN v USING (id) JOIN q USING (query_id)) {ranked('u', K)}")
 def ivf_pq_knn(spark, sf):
     base = vectors(spark, sf)
-    lists = cluster.assign(base, centroids(base)).select("id", "list").join(quantize.pq_encode(base, codebook(base), M), "id")
+    lists = quantize.pq_encode(cluster.assign(base, centroids(base)), codebook(base), M, ("id", "list"))
     visits = cluster.probes(queries(base), centroids(base), NPROBE).select("query_id", "list")
-    scored = quantize.pq_scores(lists.select("id", "codes"), codebook(base), queries(base), M)
-    near = scored.join(lists.select("id", "list"), "id").join(F.broadcast(visits), ["query_id", "list"])
+    near = quantize.pq_scores(lists, codebook(base), queries(base), M, visits)
     return search.rerank(search.top(near, POOL), base, queries(base), K)
 
 
