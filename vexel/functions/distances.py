@@ -133,26 +133,38 @@ def matrix_distance(metric: str, queries: np.ndarray, rows: np.ndarray) -> np.nd
     raise ValueError(f"unknown metric {metric!r}")
 
 
+def _step_costs(a: np.ndarray, b: np.ndarray, cost: str, window: int | None, slope: float | None) -> np.ndarray:
+    """What each pair of steps of two series costs; infinite outside of what is allowed."""
+    each = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1)) if cost == "l2" else matrix_distance(cost, a, b)
+    i, j = np.arange(len(a))[:, None], np.arange(len(b))[None]
+    if window is not None:
+        each = np.where(np.abs(i - j) <= window, each, np.inf)
+    if slope is not None:
+        ratio = (i + 1) / (j + 1)
+        each = np.where((ratio <= max(slope, 1.0)) & (1 / ratio <= max(slope, 1.0)), each, np.inf)
+    return each
+
+
 def dtw(a: np.ndarray, b: np.ndarray, cost: str = "l2", window: int | None = None, slope: float | None = None) -> float:
     """Dynamic time warping of two series of steps, optionally inside a band |i - j| <= window, or where the
     steps' numbers, from 1, are in a ratio of at most `slope` either way.
 
     Infinite if a series is empty or no path stays inside.
     """
-    n, m = len(a), len(b)
-    if not n or not m:
-        return float("inf")
-    if cost == "l2":
-        each = np.sqrt(np.maximum(((a[:, None] - b[None]) ** 2).sum(-1), 0))
-    else:
-        each = matrix_distance(cost, a, b)
-    i, j = np.arange(n)[:, None], np.arange(m)[None]
-    if window is not None:
-        each = np.where(np.abs(i - j) <= window, each, np.inf)
-    if slope is not None:
-        ratio = (i + 1) / (j + 1)
-        each = np.where((ratio <= max(slope, 1.0)) & (1 / ratio <= max(slope, 1.0)), each, np.inf)
-    return float(_warped(each[None])[0])
+    return float(_warped(_step_costs(a, b, cost, window, slope)[None])[0]) if len(a) and len(b) else float("inf")
+
+
+def dtw_many(pairs: list[tuple[np.ndarray, np.ndarray, int | None]], cost: str = "l2", slope: float | None = None, cells: int = 1 << 22) -> np.ndarray:
+    """dtw of (a, b, window), pairs of the same lengths together, about `cells` cells of their tables at a time."""
+    out, shapes = np.full(len(pairs), np.inf), {}
+    for k, (a, b, _) in enumerate(pairs):
+        if len(a) and len(b):
+            shapes.setdefault((len(a), len(b)), []).append(k)
+    for (n, m), members in shapes.items():
+        step = max(1, cells // (n * m))
+        for some in (members[k : k + step] for k in range(0, len(members), step)):
+            out[some] = _warped(np.stack([_step_costs(*pairs[k][:2], cost, pairs[k][2], slope) for k in some]))
+    return out
 
 
 def _warped(each: np.ndarray) -> np.ndarray:

@@ -134,9 +134,12 @@ def probes(queries: DataFrame, centroids: DataFrame, nprobe: int, metric: str =
 
 def ivf_search(lists: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, nprobe: int, metric: str = "l2", score=None) -> DataFrame:
     """The k nearest of the visited lists. lists: (list, id, vec, ...); score: another distance, of columns vec and q."""
-    visited = F.broadcast(probes(queries, centroids, nprobe, metric))  # nprobe rows a query
     far = rounded(score if score is not None else D.distance(metric, "vec", "q"))
-    return top(lists.join(visited, "list").select("query_id", "id", far.alias("distance")), k).select("query_id", "rank", "id", "distance")
+
+    def run(part: DataFrame) -> DataFrame:  # nprobe rows a query
+        return lists.join(F.broadcast(probes(part, centroids, nprobe, metric)), "list").select("query_id", "id", far.alias("distance"))
+
+    return top(in_blocks(queries, run), k).select("query_id", "rank", "id", "distance")
 
 
 def reach(lists: DataFrame, centroids: DataFrame, metric: str = "l2") -> DataFrame:

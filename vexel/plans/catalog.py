@@ -120,23 +120,16 @@ def dist_by_ids(spark, sf):
 def _dtw(cost: str, band: bool = False, slope: float | None = None):
     def run(spark, sf):
         import numpy as np
-        import pandas as pd
 
         rows = series(spark, sf)
-        asked = rows.where("id % 100 = 0").collect()
+        asked = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("series").alias("q"))
 
         def each(parts):
             for part in parts:
-                out = []
-                for i, b in zip(part["id"], part["series"]):
-                    b = np.array(b, float)[:, None]
-                    for r in asked:
-                        a = np.array(r["series"], float)[:, None]
-                        window = abs(len(a) - len(b)) + max(len(a), len(b)) // 10 if band else None
-                        out.append((r["id"], i, round(D.dtw(a, b, cost, window, slope), 6)))
-                yield pd.DataFrame(out, columns=["query_id", "id", "distance"])
-
-        return rows.mapInPandas(each, "query_id long, id long, distance double")
+                pairs = [(np.array(a, float)[:, None], np.array(b, float)[:, None], abs(len(a) - len(b)) + max(len(a), len(b)) // 10 if band else None) for a, b in zip(part["q"], part["series"])]
+                yield part[["query_id", "id"]].assign(distance=np.round(D.dtw_many(pairs, cost, slope), 6))
+
+        return search.in_blocks(asked, rows.crossJoin).mapInPandas(each, "query_id long, id long, distance double")
 
     return run
 
