@@ -407,6 +407,8 @@ def test_url_filter(spark):
         want.append((i, host, path, best[1], best[2]))
     assert rows(url_filter.verdicts(spark, pages)) == sorted(want, key=repr)
     assert url_filter.verdicts(spark, pages.limit(0)).count() == 0
+    listed = spark.createDataFrame([*url_filter.RULES, (None, "/", "block"), ("org", None, "block")], "host string, path string, verdict string")
+    assert rows(url_filter.verdicts(spark, pages, listed)) == sorted(want, key=repr)
     assert {r["verdict"] for r in url_filter.verdicts(spark, pages, [], "block").collect()} == {"block"}
 
 

@@ -42,13 +42,15 @@ from .hash_index import HashIndex
 
 #: Words of a window and of an anchor; places from which an anchor is hot; windows of an automaton, about.
 WINDOW, GRAM, HOT, AUTOMATON = 20, 8, 1000, 20_000
+#: Bytes of text that are taken apart at once.
+BATCH = 2 << 20
 
 
 def word_batches(batches, carried: int = 0):
     """Rows, their words and text offsets, the number of each text's first word, and whether the text goes on. A long text
     comes in pieces, each but the first led by the last `carried` words of the one before."""
     carry, base = None, 0
-    for part, texts, more in pieces(batches):
+    for part, texts, more in pieces(batches, limit=BATCH):
         words, at = words_of(texts)
         if carry is not None:
             words, at = pa.concat_arrays([carry, words]), at + len(carry) * (np.arange(len(at)) > 0)

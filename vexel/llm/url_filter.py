@@ -6,7 +6,7 @@ longest rule that fits decides; of equal rules, block wins; without one the defa
 Only expressions that some rule could equal are made: host suffixes of as many labels, and path prefixes of as many
 characters, as some rule has. That loses no match and bounds the expressions of a url by the rules, not by its length.
 
-Defined results: a null url, or one without ://, has empty host and path; repeated rows are judged each; an empty
+Defined results: rules with a null host or path fit nothing; a null url, or one without ://, has empty host and path; repeated rows are judged each; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -34,25 +34,31 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
-def _expressions(rules: list[tuple[str, str, str]]) -> Column:
-    labels = F.array(*[F.lit(n) for n in sorted({h.count(".") + 1 for h, _, _ in rules})])
-    lengths = F.array(*[F.lit(n) for n in sorted({len(p) for _, p, _ in rules})])
+def _expressions(labels: list[int], lengths: list[int]) -> Column:
+    """Host suffixes of so many labels, each with path prefixes of so many characters."""
+    labels, lengths = F.array(*[F.lit(n) for n in sorted(labels)]), F.array(*[F.lit(n) for n in sorted(lengths)])
     hosts = F.transform(F.filter(labels, lambda n: n <= F.size(F.split("host", r"\."))), lambda n: F.array_join(F.slice(F.split("host", r"\."), -n, n), "."))
     paths = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
     return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
 
 
-def verdicts(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default: str = "allow") -> DataFrame:
-    """One row per page: page_id, host, path, rule (or null), verdict."""
+def verdicts(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES, default: str = "allow") -> DataFrame:
+    """One row per page: page_id, host, path, rule (or null), verdict. rules: (host, path, verdict), a list or a table; of a
+    table only the numbers of labels and the lengths that there are come to the driver."""
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(rules, "host string, path string, verdict string")
+    rules = rules.where("host IS NOT NULL AND path IS NOT NULL")
+    told = rules.select(F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("length"))
+    count, labels, lengths = told.agg(F.count("*"), F.collect_set("labels"), F.collect_set("length")).first()
     host, path = host_and_path(pages["url"])
     base = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    if not rules:
+    if not count:
         return base.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    listed = spark.createDataFrame([(h + p, v) for h, p, v in rules], "rule string, verdict string").withColumn("digest", F.sha2("rule", 256))
+    listed = rules.select(F.concat("host", "path").alias("rule"), "verdict").withColumn("digest", F.sha2("rule", 256))
     listed = listed.select(F.substring("digest", 1, PREFIX).alias("prefix"), "digest", F.struct(F.length("rule").alias("long"), "rule", "verdict").alias("fit"))
-    if len(rules) <= BROADCAST_RULES:
+    if count <= BROADCAST_RULES:
         listed = F.broadcast(listed)
-    each = base.withColumn("expr", F.explode_outer(_expressions(rules))).withColumn("full", F.sha2("expr", 256))
+    each = base.withColumn("expr", F.explode_outer(_expressions(labels, lengths))).withColumn("full", F.sha2("expr", 256))
     hits = each.withColumn("prefix", F.substring("full", 1, PREFIX)).join(listed, "prefix", "left")
     best = hits.groupBy("row", "page_id", "host", "path").agg(F.max(F.when(F.col("full") == F.col("digest"), F.col("fit"))).alias("best"))
     return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
