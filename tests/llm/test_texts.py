@@ -253,6 +253,16 @@ def test_fingerprints(spark, docs, empty):
     assert fingerprints.fingerprints(empty).count() == 0
 
 
+@pytest.mark.parametrize("buckets", [1, 2, 1999, 2000, 5000])
+def test_next_documents_in_any_number_of_buckets(spark, monkeypatch, buckets):
+    """Larger tables have thousands of buckets."""
+    monkeypatch.setattr(fingerprints, "BUCKET", 1)
+    monkeypatch.setattr(fingerprints, "MOST_BUCKETS", buckets)
+    data = spark.range(0, 15_000, 3).selectExpr("id AS o", "CAST(id AS string) AS text")
+    got = fingerprints.beside_next(data, "o", "text", {"text": "next_text"}, data.select("o")).collect()
+    assert sorted((r["o"], r["next_text"]) for r in got) == [(i, str((i - 3) % 15_000)) for i in range(0, 15_000, 3)]
+
+
 def test_fingerprint_by_brute_force(spark):
     """Signatures as the definition has them, for texts with repeated k-mers."""
     texts = ["a b c d e f g h i j a b c d e f g h", " ".join("xy"[i % 2] for i in range(60)), "a b", "q " * 9, "q " * 3000, "", "one two three four five six"]

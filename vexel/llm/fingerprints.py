@@ -71,7 +71,8 @@ def beside_next(docs: DataFrame, order: str, tie: str, next_of: dict[str, str],
     the first). narrow: the order column alone, from which the quantiles are taken."""
     n = narrow.count()
     buckets = max(1, min(MOST_BUCKETS, n // BUCKET))
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)], F.lit(1.0)) if buckets < 2000 else F.transform(F.sequence(F.lit(1), F.lit(buckets)), lambda i: i / F.lit(float(buckets)))
+    # percentile_approx takes constants only, which a transformed sequence isn't
+    shares = F.split(F.lit(",".join(str(i / buckets) for i in range(1, buckets + 1))), ",").cast("array<double>")
     cuts = sorted(set(narrow.agg(F.percentile_approx(order, shares, max(10_000, 4 * buckets))).first()[0] or [NO_ID]))
     listed = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")  # folded to one constant
     docs = docs.withColumn("_cuts", listed).withColumn("_at", F.expr(f"aggregate({STEPS.format('_cuts')}, 0, (n, step) -> IF(n + step <= size(_cuts) AND get(_cuts, n + step - 1) < {order}, n + step, n))"))
