@@ -51,6 +51,22 @@ def test_dtw():
     assert D.dtw(a, b, slope=2.0) >= D.dtw(a, b) and D.dtw(a, b, window=20) == pytest.approx(D.dtw(a, b))
 
 
+@pytest.mark.parametrize("cost", ["l2", "ip", "cosine"])
+def test_dtw_of_many(cost):
+    """All pairs side by side are what pairs are one by one, in bands and slopes too."""
+    rng = np.random.default_rng(0)
+    for n, m in ((1, 1), (1, 6), (7, 4), (9, 9), (3, 11), (0, 4)):
+        a, b = rng.integers(-3, 4, (5, n)).astype(float), rng.normal(size=(6, m))
+        for window, slope in ((None, None), (0, None), (2, None), (None, 2.0), (3, 1.5), (None, 0.5)):
+            want = [[D.dtw(x[:, None], y[:, None], cost, window, slope) for y in b] for x in a]
+            assert np.allclose(D.dtw_many(a, b, cost, window, slope, pairs=4), want, rtol=1e-12, atol=1e-12)
+
+
+def test_warping_makes_no_pairs_first(spark):
+    plan = catalog.QUERIES["dtw_l2"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Cartesian" not in plan
+
+
 def test_half_precision_rounding():
     x = np.array([1.0, 1.00390625, 1.01171875, -3.3, 65504.0], np.float32)
     assert D.round_half(x, "bfloat16").tolist()[:3] == [1.0, 1.0, 1.015625]
