@@ -108,3 +108,18 @@ def test_late_interaction_in_slices(spark, monkeypatch, metric):
 def test_late_interaction_makes_no_pairs(spark):
     plan = catalog.QUERIES["maxsim_l2"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_signatures_of_all_pairs(spark, monkeypatch):
+    """Sizes that differ, nulls, in parts and slices; and no row is a pair of signatures."""
+    from vexel.operators import lsh
+
+    for name, value in {"PART": 3, "SLICE": 2, "EMITTED": 4}.items():
+        monkeypatch.setattr(lsh, name, value)
+    rng = np.random.default_rng(3)
+    sigs = [(i, [f"x{n}" for n in rng.integers(0, 3, 4)]) for i in range(9)] + [(9, ["x0", None]), (10, None), (11, []), (12, [None, None])]
+    rows = spark.createDataFrame(sigs, "id long, sig array<string>")
+    joined = rows.crossJoin(rows.select(F.col("id").alias("query_id"), F.col("sig").alias("q")))
+    want = {tuple(r) for r in joined.select("query_id", "id", search.rounded(D.minhash_distance("sig", "q"))).collect()}
+    assert {tuple(r) for r in lsh.distances(rows, rows).collect()} == {(a, b, 1.0 if d is None else d) for a, b, d in want}
+    assert not re.search(r"\bq#\d", catalog.QUERIES["minhash_jaccard"](spark, SF)._jdf.queryExecution().executedPlan().toString())
